@@ -1 +1,8 @@
 """plumbline: bibliometric, patent and text analytics on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
