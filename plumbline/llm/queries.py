@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard, toxicity
+import corpus_pipeline
+from plumbline.llm import decontaminate, jaccard, mixing, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -22,8 +35,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard, op8_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op4_token_output, op6_ngram_jaccard, op8_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard": jaccard.SQL}
+    return {"op1_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard.SQL}
