@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, jaccard, mixing, tokens, toxicity
+from plumbline.llm import decontaminate, jaccard, lattice, mixing, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -34,8 +39,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op4_token_output, op6_ngram_jaccard, op8_toxicity)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op4_token_output, op5_quality, op6_ngram_jaccard, op8_toxicity, op9_lm_scores)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
