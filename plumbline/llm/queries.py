@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, jaccard, lattice, mixing, quality, tokens, toxicity
+from plumbline.llm import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,12 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op4_token_output, op5_quality, op6_ngram_jaccard, op8_toxicity, op9_lm_scores)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_chat_format, op4_token_output, op5_quality, op6_ngram_jaccard, op8_toxicity, op9_lm_scores, op10_sharding)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
