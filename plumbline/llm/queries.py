@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plumbline.llm import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, tokens, toxicity
+from plumbline.llm import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, template, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_chat_format, op4_token_output, op5_quality, op6_ngram_jaccard, op8_toxicity, op9_lm_scores, op10_sharding)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_chat_format, op4_token_output, op5_quality, op6_ngram_jaccard, op7_html_extract, op8_toxicity, op9_lm_scores, op10_sharding)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
