@@ -23,15 +23,21 @@ def signif(c: Column, digits: int = 3) -> Column:
 
 
 def ngrams(tokens: Column, least: int, most: int, sep: str = " ") -> Column:
-    """All runs of least..most neighbouring tokens, each joined by sep; sizes under 1 are skipped."""
-    parts = [
-        F.when(
-            F.size(tokens) >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(tokens, i, n), sep)),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(max(1, least), most + 1)
-    ]
-    return F.concat(*parts) if parts else F.array().cast("array<string>")
+    """All runs of least..most neighbouring tokens, each joined by sep; sizes under 1 are skipped.
+
+    The token array is bound to a lambda variable, so that it is made once a row and not once an n-gram.
+    """
+
+    def of(row: Column) -> Column:
+        parts = [size_n(row, n) for n in range(max(1, least), most + 1)]
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+    def size_n(row: Column, n: int) -> Column:
+        # the lambda has one parameter: a second one, even with a default, would be given the index
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(row) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(row, i, n), sep))
+        return F.when(F.size(row) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(tokens), of))
 
 
 def char_cosine(a: Column, b: Column) -> Column:
