@@ -92,8 +92,9 @@ class Encoder:
         new = [w for w in unique if w not in self.known]
         if len(self.known) + len(new) > self.keep:
             self.known, new = {}, unique
-        for w, ids in zip(new, self.model.encode([w or " " for w in new], num_threads=1), strict=True):
-            self.known[w] = np.array(ids if w else ids[:1], np.uint32)
+        for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
+            # between spaces an empty word is the space sign alone
+            self.known[w] = np.array(ids if w else [self.model.piece_to_id("▁")], np.uint32)
         parts = [self.known[w] for w in unique]
         sizes = np.array([len(p) for p in parts], np.int64)
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
