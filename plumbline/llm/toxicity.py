@@ -7,20 +7,20 @@ harm, insult turns marked symbols into weights. A clause scores the weight of th
 document is toxic if its highest clause reaches a fixed threshold. So no word scores by itself: "not an idiot"
 and "they said he is an idiot" score less than the threshold.
 
-The insult classes are seed words plus word stems learned from labelled rows (greedy cover of the toxic
-labelled documents by stems that clean ones lack).
+The insult classes are seed words plus every word and word stem that labelled rows show to be toxic (stems_of).
 
 Nulls: a null text is the empty text, which isn't toxic; a null doc_id stays null; a null language is its own language.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.support import cut, normal_text
@@ -198,57 +198,92 @@ class Scorer:
 # --- stems from labelled rows ------------------------------------------------------------------------
 
 
-def learn_stems(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 5, precision: float = 0.97, lengths: tuple[int, int] = (4, 8)
-) -> dict[str, list[str]]:
-    """Word stems by language that toxic labelled documents have and clean ones lack.
-
-    ``max_rows`` labelled rows (those of the lowest hash of doc_id) bound the fit; it is the only bound and scoring has none.
-    Candidates are word-initial strings and, marked '$', whole words; in each language the stem that covers the most toxic
-    documents not covered yet is taken until the best one covers fewer than ``least_docs``. Exact and near copies (documents
-    that share the lowest hash among their long words) count once.
-    """
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """(doc_id, text, lang, toxic, ws, key) of at most ``max_rows`` labelled documents, those of the lowest hash of doc_id; ws are the distinct words, and rows with one key count as one."""
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = (
-        docs.select("doc_id", F.lower(normal_text()).alias("t"), lang.alias("lang"))
+        docs.select("doc_id", normal_text().alias("text"), lang.alias("lang"))
         .join(F.broadcast(sample), "doc_id")  # at most max_rows ids
-        .select("lang", "toxic", F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("ws"))
+        .withColumn("ws", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)))
         .withColumn("key", F.coalesce(F.array_min(F.transform(F.filter("ws", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))), F.xxhash64(F.array_join("ws", " "))))
-        .groupBy("lang", "key", "toxic")
-        .agg(F.max_by("ws", F.size("ws")).alias("ws"))
     )
-    word = cut(rows.select("lang", "key", "toxic", F.explode("ws").alias("w")).where(F.length("w") >= lengths[0]))
-    stems = F.array_distinct(F.concat(F.array(F.concat("w", F.lit("$"))), F.transform(F.sequence(F.lit(lengths[0]), F.least(F.length("w"), F.lit(lengths[1]))), lambda k: F.col("w").substr(F.lit(1), k))))
-    by_word = word.groupBy("lang", "w").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("bad >= 0")
+    most = F.row_number().over(Window.partitionBy("lang", "key", "toxic").orderBy(F.size("ws").desc(), "doc_id"))
+    return rows.withColumn("most", most).where("most = 1").drop("most")
+
+
+def by_chance(n: int, p: float, precision: float) -> float:
+    """Probability that a word in n documents, of which each is toxic with probability p, passes the precision test."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(precision * n - 1e-9), n + 1)) if n < 200 else 0.0
+
+
+def least_support(counts: list[tuple[int, int, int]], p: float, least_docs: int, precision: float) -> int:
+    """Documents a word must be in, at most ``least_docs``: the fewest (two at least) at which chance accounts for at most 1 - precision of the words that pass.
+
+    ``counts`` holds (n, words in n documents, those that pass the precision test) of a language, p its share of toxic documents.
+    """
+    for least in range(2, least_docs):
+        rows = [(n, words, passed) for n, words, passed in counts if n >= least]
+        if sum(words * by_chance(n, p, precision) for n, words, _ in rows) <= (1 - precision) * sum(passed for *_, passed in rows):
+            return least
+    return least_docs
+
+
+def stems_of(rows: DataFrame, least_docs: int = 5, precision: float = 0.97, lengths: tuple[int, int] = (4, 8)) -> dict[str, list[str]]:
+    """Every word (marked '$') and word stem by language that labelled rows show to be toxic.
+
+    A word is kept if at least ``precision`` of the documents that have it are toxic, and they are as many as least_support() asks for in its language. A stem stands for forms that the labels
+    lack, so it is kept if all its words taken together pass the same precision, in ``least_docs`` documents, and they are two words at least; of stems of the same words the longest is.
+    """
+    word = cut(rows.select("lang", "key", "toxic", F.explode("ws").alias("w")).where(F.length("w") >= lengths[0]).distinct())
+    share = {lang: bad / n for lang, bad, n in rows.select("lang", "key", "toxic").distinct().groupBy("lang").agg(F.sum("toxic"), F.count("*")).collect()}
+    by_word = cut(word.groupBy("lang", "w").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")))
+    passes = F.col("bad") >= precision * F.col("n")
+    counts: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    for lang, n, words, passed in by_word.groupBy("lang", "n").agg(F.count("*"), F.count_if(passes)).collect():
+        counts[lang].append((n, words, passed))
+    least = {lang: least_support(own, share[lang], least_docs, precision) for lang, own in counts.items()}
+    enough = F.lit(False)
+    for lang, n in least.items():
+        enough = enough | (F.col("lang") == lang) & (F.col("bad") >= n)
+    chosen: dict[str, list[str]] = defaultdict(list)
+    for lang, w in by_word.where(passes & enough).select("lang", "w").collect():  # the learned words, bounded by max_rows
+        chosen[lang].append(f"{w}$")
+    stems = F.transform(F.sequence(F.lit(lengths[0]), F.least(F.length("w"), F.lit(lengths[1]))), lambda k: F.col("w").substr(F.lit(1), k))
     good = (
         by_word.select("lang", F.explode(stems).alias("stem"), "bad", "n")
-        .groupBy("lang", "stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .where((F.col("bad") >= least_docs) & (F.col("bad") >= precision * F.col("n")))
+        .groupBy("lang", "stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("words"))
+        .where((F.col("bad") >= least_docs) & passes & (F.col("words") > 1))
     )
     held = (
-        word.where("toxic = 1").select("lang", "key", F.explode(stems).alias("stem"))
+        word.where("toxic = 1").select("lang", "key", "w", F.explode(stems).alias("stem"))
         .join(good.select("lang", "stem"), ["lang", "stem"])
-        .groupBy("lang", "stem").agg(F.collect_set("key").alias("docs"))
-        .where(F.size("docs") >= least_docs)
-        .collect()  # bounded by max_rows
+        .groupBy("lang", "stem").agg(F.count_distinct("key").alias("docs"), F.array_sort(F.collect_set("w")).alias("ws"))
+        .where(F.col("docs") >= least_docs)
+        .groupBy("lang", "ws").agg(F.max_by("stem", F.length("stem")).alias("stem"))
+        .select("lang", "stem").collect()  # bounded by max_rows
     )
-    by_lang: dict[str, dict[str, set[int]]] = defaultdict(dict)
-    for lang, stem, keys in held:
-        by_lang[lang][stem] = set(keys)
-    chosen: dict[str, list[str]] = {}
-    for lang, left in by_lang.items():
-        own = chosen[lang] = []
-        while left:
-            # most documents; among equals a whole word, then the longest stem, which generalises least
-            stem = max(left, key=lambda s: (len(left[s]), s.endswith("$"), len(s), s))
-            covered = left.pop(stem)
-            if len(covered) < least_docs:
-                break
-            own.append(stem)
-            left = {s: rest for s, d in left.items() if len(rest := d - covered) >= least_docs}
-    return chosen
+    for lang, stem in held:
+        chosen[lang].append(stem)
+    return {lang: sorted(own) for lang, own in chosen.items()}
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 5, precision: float = 0.97, lengths: tuple[int, int] = (4, 8)) -> dict[str, list[str]]:
+    """stems_of() the labelled rows. ``max_rows`` bounds the fit; it is the only bound and scoring has none."""
+    return stems_of(labelled_rows(docs, labels, max_rows), least_docs, precision, lengths)
+
+
+def held_out(docs: DataFrame, labels: DataFrame, threshold: float | None = None, max_rows: int = 20_000) -> DataFrame:
+    """(lang, toxic, rows, found): labelled rows that reach ``threshold`` with stems learned from the other half of the keys, so that no copy of a row teaches its own verdict."""
+    rows = cut(labelled_rows(docs, labels, max_rows))
+    half, parts = F.pmod(F.xxhash64("key"), F.lit(2)), []
+    for k in (0, 1):
+        test = rows.where(half == k)
+        scored = score_documents(test.drop("toxic"), stems_of(rows.where(half != k)))
+        parts.append(test.select("doc_id", "lang", "toxic").join(scored, "doc_id"))
+    found = F.count_if(F.col("toxicity") >= (THRESHOLD if threshold is None else threshold))
+    return parts[0].unionByName(parts[1]).groupBy("lang", "toxic").agg(F.count("*").alias("rows"), found.alias("found"))
 
 
 THRESHOLD = 1.0

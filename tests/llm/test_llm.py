@@ -285,6 +285,21 @@ def test_learned_stems(spark, docs_of):
     assert found == {k for k in range(200) if k % 4 == 0}
 
 
+def test_every_toxic_word_is_learned(docs_of, spark):
+    rng = random.Random(9)
+    plain = [f"plain{k}" for k in range(80)]
+    bad = {k: ["grubnik"] + ["zorvath"] * (k % 8 == 0) for k in range(0, 200, 4)}  # whatever has the second word has the first
+    docs = docs_of([(k, " ".join(rng.sample(plain, 12) + bad.get(k, []))) for k in range(200)])
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in range(200)], "doc_id bigint, toxic int")
+    assert toxicity.learn_stems(docs, labels)["en"] == ["grubnik$", "zorvath$"]
+    assert {(r["toxic"], r["rows"] > 20, r["found"] > 0) for r in toxicity.held_out(docs, labels, 0.5).collect()} == {(0, True, False), (1, True, True)}
+
+
+def test_support_suits_the_language():
+    assert toxicity.least_support([(1, 500, 50), (2, 80, 10), (3, 60, 20)], 0.02, 5, 0.97) == 2
+    assert toxicity.least_support([(2, 4000, 60), (3, 3000, 4), (4, 9000, 2), (6, 10, 2)], 0.1, 5, 0.97) == 5
+
+
 # --- 9 lattice ---------------------------------------------------------------------------------------------------------
 
 
