@@ -19,8 +19,11 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.support import cut, normal_text
@@ -198,19 +201,52 @@ class Scorer:
 # --- stems from labelled rows ------------------------------------------------------------------------
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """(doc_id, text, lang, toxic, ws, key) of at most ``max_rows`` labelled documents, those of the lowest hash of doc_id; ws are the distinct words, and rows with one key count as one."""
+def copy_keys(rows: pd.DataFrame, similarity: float = 0.7, bands: int = 32) -> np.ndarray:
+    """The place of the row each row is a copy of, or its own. ``rows``: lang, toxic, n (distinct words) and least, ``4 * bands`` minimum hashes of the words.
+
+    The rows of a language and verdict that share four minimum hashes in a row are compared, and the one with fewer words is a copy if the estimate from all hashes, the share that agree, is at least
+    ``similarity``. Copies are compared with rows that are no copies themselves, so that no chain of them links unlike rows.
+    """
+    key, least = np.arange(len(rows)), np.stack(rows["least"].to_numpy()) if len(rows) else np.zeros((0, 4 * bands), np.int32)
+    for _, part in rows.groupby(["lang", "toxic"]):
+        kept: dict[tuple[int, bytes], list[int]] = defaultdict(list)
+        for at in part.sort_values("n", ascending=False, kind="stable").index:
+            places = [(k, least[at, 4 * k : 4 * k + 4].tobytes()) for k in range(bands)]
+            near = sorted({other for place in places for other in kept.get(place, ())})
+            like = (least[near] == least[at]).mean(axis=1) if near else np.zeros(0)
+            if len(like) and like.max() >= similarity:
+                key[at] = near[int(like.argmax())]
+            else:
+                for place in places:
+                    kept[place].append(at)
+    return key
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 42) -> DataFrame:
+    """(doc_id, text, lang, toxic, ws, key) of at most ``max_rows`` labelled documents, those of the lowest hash of doc_id; ws are the distinct words. Rows with one key are copies (copy_keys) and count as one that has the words of all."""
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = (
+    rows = cut(
         docs.select("doc_id", normal_text().alias("text"), lang.alias("lang"))
         .join(F.broadcast(sample), "doc_id")  # at most max_rows ids
         .withColumn("ws", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)))
-        .withColumn("key", F.coalesce(F.array_min(F.transform(F.filter("ws", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))), F.xxhash64(F.array_join("ws", " "))))
+        .withColumn("row", F.xxhash64("doc_id", "text"))
     )
-    most = F.row_number().over(Window.partitionBy("lang", "key", "toxic").orderBy(F.size("ws").desc(), "doc_id"))
-    return rows.withColumn("most", most).where("most = 1").drop("most")
+    factor, mask = np.random.default_rng(seed).integers(0, 2**32, (2, 128), dtype=np.uint32)
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.array([xxhash.xxh32_intdigest(w) for w in ws or ("",)], np.uint32) for ws in batch.column("ws").to_pylist()]
+            least = [((h[:, None] ^ mask) * (factor | np.uint32(1))).min(axis=0).view(np.int32) for h in words]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "lang", "toxic")), pa.array([len(h) for h in words], pa.int32()), pa.array(least, pa.list_(pa.int32()))], names=["row", "lang", "toxic", "n", "least"]
+            )
+
+    found = rows.select("row", "lang", F.col("toxic").cast("int").alias("toxic"), "ws").mapInArrow(minima, "row bigint, lang string, toxic int, n int, least array<int>")
+    found = found.toArrow().to_pandas().drop_duplicates("row").sort_values("row", ignore_index=True)  # 128 hashes of each of at most max_rows rows
+    keys = docs.sparkSession.createDataFrame(pa.table({"row": pa.array(found["row"], pa.int64()), "key": pa.array(found["row"].to_numpy()[copy_keys(found)], pa.int64())}))
+    return rows.join(F.broadcast(keys), "row").drop("row")
 
 
 def by_chance(n: int, p: float, precision: float) -> float:

@@ -295,6 +295,17 @@ def test_every_toxic_word_is_learned(docs_of, spark):
     assert {(r["toxic"], r["rows"] > 20, r["found"] > 0) for r in toxicity.held_out(docs, labels, 0.5).collect()} == {(0, True, False), (1, True, True)}
 
 
+def test_only_copies_count_once(docs_of, spark):
+    rng = random.Random(10)
+    words = [f"vocabulary{k}" for k in range(400)]
+    text = {k: ["vocabulary0shared", *rng.sample(words, 30)] for k in range(40)}  # many share their lowest hash of long words
+    text |= {100 + k: [*text[k][:-1], "changed"] for k in range(5)} | {200: text[7]}
+    labels = spark.createDataFrame([(k, 0) for k in text], "doc_id bigint, toxic int")
+    keys = {r["doc_id"]: r["key"] for r in toxicity.labelled_rows(docs_of([(k, " ".join(w)) for k, w in text.items()]), labels).collect()}
+    assert len(keys) == 46 and len(set(keys.values())) == 40
+    assert keys[200] == keys[7] and all(keys[100 + k] == keys[k] for k in range(5))
+
+
 def test_support_suits_the_language():
     assert toxicity.least_support([(1, 500, 50), (2, 80, 10), (3, 60, 20)], 0.02, 5, 0.97) == 2
     assert toxicity.least_support([(2, 4000, 60), (3, 3000, 4), (4, 9000, 2), (6, 10, 2)], 0.1, 5, 0.97) == 5
