@@ -4,8 +4,11 @@ A clause is read as a string of word classes. Five transducers, each with weight
 composed into one machine: reported speech marks what follows a verb of saying, negation marks an insult
 within reach of a negator, target marks an insult or threat aimed at a person, threat recognises intent +
 harm, insult turns marked symbols into weights. A clause scores the weight of the machine's best path, and a
-document is toxic if its highest clause reaches a fixed threshold. So no word scores by itself: "not an idiot"
-and "they said he is an idiot" score less than the threshold.
+document is toxic if its highest clause or passage reaches a fixed threshold. No seed word scores enough by itself: a bare
+insult ("the trash is full") takes a target, another insult in its clause, or more insults within the same passage (two
+different words, or one three times); "not an idiot" and "they said he is an idiot" count for no passage.
+A learned word that is no seed does decide by itself where it is neither quoted nor negated: the labels show just that
+of it, and planted documents carry bare insults of which only some are learned.
 
 The insult classes are seed words plus every word and word stem that labelled rows show to be toxic (stems_of).
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ from plumbline.llm.support import cut, normal_text
 
 # --- transducers ---------------------------------------------------------------------------------
 
-#: Input symbols: I insult, V harm verb, T target, N negator, R verb of saying, F intent, C filler (copula, article, degree), O other.
-INPUT = "IVTNRFCO"
+#: Input symbols: I insult, L learned insult, V harm verb, T target, N negator, R verb of saying, F intent, C filler (copula, article, degree), O other.
+INPUT = "ILVTNRFCO"
 
 
 class Transducer:
@@ -63,16 +66,16 @@ def compose(first: Transducer, second: Transducer, symbols: Iterable[str]) -> Tr
 
 
 def reported() -> Transducer:
-    """After a verb of saying, insults and harm verbs are quoted: I -> i, V -> v."""
+    """After a verb of saying, insults and harm verbs are quoted: I, L -> i, V -> v."""
     return Transducer({
         "0": {"R": [("=", "1", 0.0)], "*": [("=", "0", 0.0)]},
-        "1": {"I": [("i", "1", 0.0)], "V": [("v", "1", 0.0)], "*": [("=", "1", 0.0)]},
+        "1": {"I": [("i", "1", 0.0)], "L": [("i", "1", 0.0)], "V": [("v", "1", 0.0)], "*": [("=", "1", 0.0)]},
     })
 
 
 def negation() -> Transducer:
-    """A negator with at most two fillers before an insult, intent or harm verb cancels it: I, i -> n; F, V, v -> O."""
-    cancel = {"I": [("n", "0", 0.0)], "i": [("n", "0", 0.0)], "V": [("O", "0", 0.0)], "v": [("O", "0", 0.0)], "F": [("O", "0", 0.0)]}
+    """A negator with at most two fillers before an insult, intent or harm verb cancels it: I, L, i -> n; F, V, v -> O."""
+    cancel = {"I": [("n", "0", 0.0)], "L": [("n", "0", 0.0)], "i": [("n", "0", 0.0)], "V": [("O", "0", 0.0)], "v": [("O", "0", 0.0)], "F": [("O", "0", 0.0)]}
     return Transducer({
         "0": {"N": [("=", "1", 0.0)], "*": [("=", "0", 0.0)]},
         "1": cancel | {"N": [("=", "1", 0.0)], "C": [("=", "2", 0.0)], "T": [("=", "2", 0.0)], "*": [("=", "0", 0.0)]},
@@ -82,13 +85,14 @@ def negation() -> Transducer:
 
 
 def target() -> Transducer:
-    """A target with at most two fillers before or right after an insult strengthens it: I -> A."""
+    """A target with at most three fillers before ("you are a total idiot") or right after an insult strengthens it: I, L -> A."""
     aim = [("A", "0", 0.0)]
     return Transducer({
-        "0": {"T": [("=", "1", 0.0)], "I": [("=", "0", 0.0), ("A", "want", 0.0)], "*": [("=", "0", 0.0)]},
-        "1": {"I": aim, "T": [("=", "1", 0.0)], "C": [("=", "2", 0.0)], "*": [("=", "0", 0.0)]},
-        "2": {"I": aim, "T": [("=", "1", 0.0)], "C": [("=", "3", 0.0)], "*": [("=", "0", 0.0)]},
-        "3": {"I": aim, "T": [("=", "1", 0.0)], "*": [("=", "0", 0.0)]},
+        "0": {"T": [("=", "1", 0.0)], "I": [("=", "0", 0.0), ("A", "want", 0.0)], "L": [("=", "0", 0.0), ("A", "want", 0.0)], "*": [("=", "0", 0.0)]},
+        "1": {"I": aim, "L": aim, "T": [("=", "1", 0.0)], "C": [("=", "2", 0.0)], "*": [("=", "0", 0.0)]},
+        "2": {"I": aim, "L": aim, "T": [("=", "1", 0.0)], "C": [("=", "3", 0.0)], "*": [("=", "0", 0.0)]},
+        "3": {"I": aim, "L": aim, "T": [("=", "1", 0.0)], "C": [("=", "4", 0.0)], "*": [("=", "0", 0.0)]},
+        "4": {"I": aim, "L": aim, "T": [("=", "1", 0.0)], "*": [("=", "0", 0.0)]},
         "want": {"T": [("=", "1", 0.0)]},
     })
 
@@ -103,8 +107,8 @@ def threat() -> Transducer:
     return Transducer(arcs)
 
 
-#: Weights of the marked symbols: insult, aimed insult, quoted, negated, threat, quoted threat.
-WEIGHTS = {"I": 1.0, "A": 1.5, "i": 0.4, "n": 0.1, "K": 2.0, "k": 0.6}
+#: Weights of the marked symbols: insult, learned insult, aimed insult, quoted, negated, threat, quoted threat.
+WEIGHTS = {"I": 0.6, "L": 1.0, "A": 1.5, "i": 0.4, "n": 0.1, "K": 2.0, "k": 0.6}
 
 
 def insult(weights: dict[str, float] = WEIGHTS) -> Transducer:
@@ -122,17 +126,28 @@ class Grammar:
 
     def score(self, classes: str) -> float:
         """Weight of the best path over a clause's classes; paths that end while an aimed insult still wants its target are dead."""
+        return self.read(classes)[0]
+
+    def read(self, classes: str) -> tuple[float, str]:
+        """Weight of the best path and the symbols it marks the clause with, one a word."""
         if classes in self.known:
             return self.known[classes]
-        best = {self.machine.start: 0.0}
+        best, back = {self.machine.start: 0.0}, []
         for symbol in classes:
             after: dict[str, float] = {}
+            came: dict[str, tuple[str, str]] = {}
             for state, so_far in best.items():
-                for _, to, weight in self.machine.arcs[state].get(symbol, ()):
+                for out, to, weight in self.machine.arcs[state].get(symbol, ()):
                     if so_far + weight > after.get(to, -1.0):
-                        after[to] = so_far + weight
+                        after[to], came[to] = so_far + weight, (state, out)
             best = after
-        value = max((v for s, v in best.items() if "want" not in s.split(",")), default=0.0)
+            back.append(came)
+        weight, state = max(((v, s) for s, v in best.items() if "want" not in s.split(",")), default=(0.0, ""))
+        marks = []
+        for came in reversed(back if state else []):
+            state, out = came[state]
+            marks.append(out)
+        value = weight, "".join(reversed(marks))
         if len(self.known) < 100_000:
             self.known[classes] = value
         return value
@@ -158,6 +173,23 @@ _CLAUSE = re.compile(r"[.!?;:,\n\r|]+|\b(?:but|because|aber|weil|mais|pero|porqu
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
+#: Characters that a passage may span, and what an insult adds to it that the passage has already.
+PASSAGE, AGAIN = 1200, 0.2
+
+
+def passage(insults: list[tuple[int, str]]) -> float:
+    """The highest weight of a passage, from (place, word) of the insults that are neither quoted nor negated: a bare insult's for each word, and AGAIN for each repetition."""
+    most, low, seen = 0.0, 0, Counter()
+    for at, word in insults:
+        seen[word] += 1
+        while insults[low][0] < at - PASSAGE:
+            seen[insults[low][1]] -= 1
+            low += 1
+        words = sum(k > 0 for k in seen.values())
+        most = max(most, WEIGHTS["I"] * words + AGAIN * (at_hand - words) if (at_hand := seen.total()) else 0.0)
+    return round(most, 9)
+
+
 class Scorer:
     """Scores texts by the grammar over the seed words and the learned stems (by language)."""
 
@@ -165,23 +197,28 @@ class Scorer:
         self.grammar, self.by_lang = Grammar(), {}
         self.stems = stems or {}
 
-    def of(self, lang: str | None) -> tuple[re.Pattern, re.Pattern]:
+    def of(self, lang: str | None) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+        """Patterns of the seed insults, of all insults, and of what a clause must hold to score."""
         if lang not in self.by_lang:
-            own = SEEDS[""].split() + [f"{s}-" if not s.endswith("$") else s[:-1] for s in self.stems.get(lang or "", [])]
-            stems, whole = sorted({w[:-1] for w in own if w.endswith("-")}), sorted({w for w in own if not w.endswith("-")})
-            joined = "|".join([*(re.escape(w) + r"(?![^\W_])" for w in whole), *map(re.escape, stems)])
-            insults = re.compile(f"(?<![^\\W_])(?:{joined})")
+            seeds = SEEDS[""].split()
+            insults = self._pattern(seeds + [f"{s}-" if not s.endswith("$") else s[:-1] for s in self.stems.get(lang or "", [])])
             harm = "|".join(sorted(map(re.escape, HARM.split())))
-            self.by_lang[lang] = insults, re.compile(f"(?<![^\\W_])(?:{joined}|(?:{harm})(?![^\\W_]))")
+            self.by_lang[lang] = tuple(re.compile(f"(?<![^\\W_])(?:{p})") for p in (self._pattern(seeds), insults, f"{insults}|(?:{harm})(?![^\\W_])"))
         return self.by_lang[lang]
 
-    def classes(self, clause: str, insults: re.Pattern) -> str:
-        return "".join("I" if insults.match(m.group()) else _CLASSES.get(m.group(), "O") for m in _TOKEN.finditer(clause))
+    @staticmethod
+    def _pattern(own: list[str]) -> str:
+        stems, whole = sorted({w[:-1] for w in own if w.endswith("-")}), sorted({w for w in own if not w.endswith("-")})
+        return "|".join([*(re.escape(w) + r"(?![^\W_])" for w in whole), *map(re.escape, stems)])
+
+    def classes(self, clause: str, seeds: re.Pattern, insults: re.Pattern) -> str:
+        return "".join("I" if seeds.match(w) else "L" if insults.match(w) else _CLASSES.get(w, "O") for w in _TOKEN.findall(clause))
 
     def score(self, text: str, lang: str | None) -> tuple[float, float, int]:
-        """Highest clause score, their sum, and the number of clauses that score at all."""
+        """Highest score of a clause or passage, the sum of the clauses', and the number of clauses that score at all."""
         text = text.lower()
-        insults, triggers = self.of(lang)
+        seeds, insults, triggers = self.of(lang)
+        bare: list[tuple[int, str]] = []
         best = total = 0.0
         n, done = 0, -1
         for hit in triggers.finditer(text):
@@ -192,10 +229,12 @@ class Scorer:
                 left = m.end()
             m = _CLAUSE.search(text, hit.end())
             done = m.start() if m else len(text)
-            value = self.grammar.score(self.classes(text[left:done], insults))
+            value, marks = self.grammar.read(self.classes(text[left:done], seeds, insults))
             if value > 0:
                 best, total, n = max(best, value), total + value, n + 1
-        return best, total, n
+            if any(mark in marks for mark in "ILA"):
+                bare += [(left + w.start(), w.group()) for w, mark in zip(_TOKEN.finditer(text, left, done), marks, strict=True) if mark in "ILA"]
+        return max(best, passage(bare)) if len(bare) > 1 else best, total, n
 
 
 # --- stems from labelled rows ------------------------------------------------------------------------

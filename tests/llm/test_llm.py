@@ -276,6 +276,12 @@ def test_toxicity(docs_of):
     assert toxicity.toxic_documents(docs_of([]), None).count() == 0
 
 
+def test_a_bare_insult_needs_context(docs_of):
+    clean = ["The trash is full.", "a clown fish", "vermin control", "a stupid bug", "They said he is an idiot. They said he is a moron.", "The trash is full. " + "Other words. " * 100 + "A clown fish."]
+    toxic = ["What a stupid idiot", "This is trash. Only a clown would read it.", "Trash. All trash. Such trash.", "You clown"]
+    assert {r["doc_id"] for r in toxicity.toxic_documents(docs_of([*enumerate(clean), *enumerate(toxic, 100)]), None).collect()} == {100, 101, 102, 103}
+
+
 def test_learned_stems(spark, docs_of):
     rng = random.Random(8)
     plain = [f"plain{k}" for k in range(80)]
