@@ -348,12 +348,12 @@ def identify_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("identify_topics_coord")
 def identify_topics_coord(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.identify_topics(_vectors(spark, sf_dir), n_components=2, assign_by_membership=True, reducer="pca").coordinates
+    return topics.identify_topics(_vectors(spark, sf_dir), n_components=2, assign_by_membership=True).coordinates
 
 
 @register("identify_topics_grid")
 def identify_topics_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.identify_topics_grid(_vectors(spark, sf_dir), {"given": None}, [15], [2, 5], [5, 10], reducer="pca")
+    return topics.identify_topics_grid(_vectors(spark, sf_dir), {"given": None}, [15], [2, 5], [5, 10])
 
 
 # --- emotion --------------------------------------------------------------------------------------------------

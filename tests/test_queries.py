@@ -33,3 +33,18 @@ def test_against_sql(spark, name):
     got, want = registry.queries()[name](spark, str(DATA)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert table(got) == table(want)
+
+
+@pytest.mark.parametrize("name", ["identify_topics", "identify_topics_coord", "identify_topics_grid"])
+def test_topics_are_reduced_by_umap(spark, name, monkeypatch):
+    used = []
+
+    def reduce_vectors(embeddings, n_neighbors, n_components, metric, reducer, seed):
+        used.append(reducer)
+        return embeddings.selectExpr("doc_id", f"slice(embedding, 1, {n_components}) AS coords")
+
+    rows = [(k, [float(k % 7 + d) for d in range(10)], 0) for k in range(30)]
+    monkeypatch.setattr(star.topics, "reduce_vectors", reduce_vectors)
+    monkeypatch.setattr(star, "table", lambda *_: spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    registry.queries()[name](spark, "")
+    assert used and set(used) == {"umap"}
