@@ -31,6 +31,14 @@ def normal_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{wanted}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

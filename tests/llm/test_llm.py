@@ -209,28 +209,85 @@ def near_rows(seed=2):
     return rows + ODD
 
 
-def test_jaccard_recall(docs_of):
+def brute_classes(rows):
+    """class_id and n_links of each doc_id by brute force; a doc_id's texts are counted one by one."""
+    texts = {}
+    for k, text, *_ in rows:
+        if k is not None:
+            w = words_of(text)
+            texts.setdefault((k, frozenset(zip(*(w[i:] for i in range(jaccard.N)), strict=False) if len(w) >= jaccard.N else ([tuple(w)] if w else []))), k)
+    nodes = [*texts]
+    links, least = dict.fromkeys(nodes, 0), {n: n[0] for n in nodes}
+    pairs = [(a, b) for a, b in itertools.combinations(nodes, 2) if a[1] and b[1] and len(a[1] & b[1]) >= jaccard.THRESHOLD * len(a[1] | b[1])]
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in nodes:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return {k: (min(least[n] for n in nodes if n[0] == k), sum(links[n] for n in nodes if n[0] == k)) for k, _ in nodes}
+
+
+def found_classes(df):
+    rows = df.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
+
+
+def test_jaccard_is_exact(docs_of):
     rows = near_rows()
-    want = brute_pairs(rows)
-    for block in (jaccard.BLOCK, 2):
-        found = jaccard.ngram_jaccard_join(docs_of(rows), block=block).collect()
-        got = {p for r in found for p in itertools.combinations(sorted({*r["doc_ids"]}), 2)}
-        assert got <= want and len(got) >= 0.9 * len(want)
-    assert (4, 5) in got
+    want = brute_classes(rows)
+    docs = docs_of(rows)
+    for block, flush in ((jaccard.BLOCK, jaccard.FLUSH), (2, 1)):
+        assert found_classes(jaccard.ngram_jaccard_join(docs.repartition(3), block=block, flush_grams=flush)) == want
+    assert want[4] == want[5] == (4, 1) and want[2] == (2, 0)
+
+
+def test_jaccard_over_several_flushes_and_blocks(docs_of):
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    rows = [(k, " ".join(w if rng.random() > 0.03 else f"own{rng.randint(0, 10**6)}" for w in base[: rng.choice((90, 150, 250, 400))])) for k in range(60)]
+    rows += [(100 + k, " ".join(f"v{rng.randint(0, 60)}" for _ in range(200))) for k in range(40)]  # few words, so that many n-grams meet by chance
+    rows += [(7, "another text under an id that is taken already"), (300, rows[3][1]), (301, rows[3][1])]
+    want = brute_classes(rows)
+    docs = docs_of(rows).withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(2)).coalesce(1)
+    assert found_classes(jaccard.ngram_jaccard_join(docs, block=8, flush_grams=1)) == want
+    kept = jaccard.keep_one_of_each_group(docs, block=8)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, (c, _) in want.items() if k == c}
+    shuffled = jaccard.keep_one_of_each_group(docs, block=8, broadcast_ids=0)
+    assert sorted(shuffled.select("doc_id", "text").collect()) == sorted(kept.select("doc_id", "text").collect())
+
+
+def test_the_overlaps_of_two_ranges(docs_of):
+    """Sets at the threshold and just under it."""
+    words = lambda a, b: " ".join(f"t{k}" for k in range(a, b))
+    rows = [(1, words(0, 32)), (2, words(10, 42)), (3, words(11, 43)), (4, words(100, 122)), (5, words(100, 112)), (6, words(100, 111))]
+    assert found_classes(jaccard.ngram_jaccard_join(docs_of(rows))) == brute_classes(rows)
 
 
 def test_tree_is_exact():
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint32)) for _ in range(200)]
+    sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint64)) for _ in range(200)]
+    size = np.array([len(s) for s in sets])
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
-    assert {(i, j) for i, j, _ in jaccard.similar_pairs(sets, None, 0.5)} == want
+    assert {(i, j) for i, near in jaccard.similar_sets(sets, size, None, None, 0.5) for j in near} == want
+    left, right = sets[:80], sets[80:]
+    assert {(i, j + 80) for i, near in jaccard.similar_sets(left, size[:80], right, size[80:], 0.5) for j in near} == {(i, j) for i, j in want if i < 80 <= j}
+
+
+def test_bundles():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        x = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (jaccard._undo(*jaccard._deltas(x)) == x).all()
+        assert [a.tolist() for a in jaccard._open(jaccard._bundle(x, np.array([1, 2], np.uint8)))] == [x.tolist(), [1, 2]]
 
 
 def test_keep_one(docs_of):
     docs = docs_of([(9, "one two three four five"), (3, "one two three four five"), (3, "one two three four five"), (None, "one two three four five"), (None, None), (8, ""), (12, None)])
     kept = jaccard.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["12", "3", "8", "None", "None"]
-    assert jaccard.keep_one_of_each_group(docs_of([])).count() == 0
+    assert jaccard.keep_one_of_each_group(docs_of([])).count() == 0 and jaccard.ngram_jaccard_join(docs_of([])).count() == 0
 
 
 # --- 7 HTML ------------------------------------------------------------------------------------------------------
