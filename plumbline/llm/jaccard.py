@@ -135,16 +135,17 @@ def _open(body: bytes) -> list[np.ndarray]:
 
 
 def _deltas(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Differences of ascending 64-bit values in as few bytes each as the greatest needs; and that number."""
-    steps = np.diff(ascending, prepend=np.zeros(1, np.uint64))
+    """Differences of ascending 64-bit values in as few bytes each as the greatest needs; and that number with the first value."""
+    steps = np.diff(ascending)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), np.array([width], np.uint8)
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), np.array([width, *ascending[:1].tolist()], np.uint64)
 
 
-def _undo(packed: np.ndarray, width: np.ndarray) -> np.ndarray:
-    steps = np.zeros((len(packed) // int(width[0]), 8), np.uint8)
-    steps[:, : int(width[0])] = packed.reshape(-1, int(width[0]))
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+def _undo(packed: np.ndarray, head: np.ndarray) -> np.ndarray:
+    width = int(head[0])
+    steps = np.zeros((len(packed) // width, 8), np.uint8)
+    steps[:, :width] = packed.reshape(-1, width)
+    return np.cumsum(np.concatenate([head[1:], steps.view("<u8").ravel()]), dtype=np.uint64)
 
 
 # --- regions ------------------------------------------------------------------------------------------
@@ -200,7 +201,7 @@ def _gather(docs: DataFrame, n: int, parts: int, flush_grams: int) -> DataFrame:
                     rows.append((k, flush, k, _bundle(*_deltas(grams[a:b]), several.astype(np.uint32), count[a:b][several].astype(np.uint32))))
             about = _bundle(np.array([*held], np.int64), sizes, begins, short, far.astype(np.uint32), steps[far].astype(np.uint32), np.diff(bounds).astype(np.uint32),
                             np.array([len(i) for i in ids], np.uint32), np.array([x for i in ids for x in i], np.int64), np.array(empty, np.int64))
-            return _pieces([*rows, (flush % parts, flush, -1, about)])
+            return _pieces([*rows, (((flush >> 32) + (flush & 0xFFFF)) * 7919 % parts, flush, -1, about)])
 
         for batch in batches:
             for part in vectext.chunks(batch):
@@ -372,7 +373,7 @@ def _links(kept: DataFrame, parts: int) -> DataFrame:
 
 
 def _cells(sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Each set in every pair of blocks of its region that may hold partners: (region, x, y, mine, sig, size, weight, grams), x and y being names of blocks.
+    """Each set in every pair of blocks of its region that may hold partners: (region, x, y, mine, sig, size, weight), x and y being names of blocks.
 
     A region of at most ``block`` sets is one block. Others are cut by size (powers of the square root of two) and, within a size, by hash into as many blocks as are needed.
     """
@@ -383,7 +384,7 @@ def _cells(sets: DataFrame, threshold: float, block: int) -> DataFrame:
     own = blocks.select("region", "class", F.col("k").alias("own_k"))
     placed = placed.join(own, ["region", "class"], "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("own_k")).cast("int"), F.lit(0)))
     name = lambda c, s: (c.cast("bigint") * F.lit(1 << 31) + s.cast("bigint"))
-    columns = ["region", "mine", "sig", "size", "weight", "grams"]
+    columns = ["region", "mine", "sig", "size", "weight"]
     mine = placed.withColumn("mine", name(F.col("class"), F.col("sub")))
     small = mine.where(F.col("m") <= block).select(columns[0], F.col("mine").alias("x"), F.col("mine").alias("y"), *columns[1:])
     apart = int(np.floor(1 + 2 * np.log2(1 / threshold)))
@@ -431,9 +432,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     own = kept.where("kind = 0 and sig is not null").select("sig", F.explode("ids").alias("doc_id")).distinct()
     weights = own.groupBy("sig").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
     regions = connected_components(_links(kept, parts)).select(F.col("id").alias("sig"), F.col("component").alias("region"))
-    sets = kept.where("kind = 0 and body is not null").groupBy("sig").agg(F.first("size").alias("size"), F.first("body").alias("grams"))
-    sets = cut(sets.join(regions, "sig").join(weights.select("sig", "weight"), "sig"))
-    found = cut(_search(_cells(sets, threshold, block), threshold))
+    bodies = kept.where("kind = 0 and body is not null").select("sig", "size", F.col("body").alias("grams"))
+    sets = cut(bodies.select("sig", "size").distinct().join(regions, "sig").join(weights.select("sig", "weight"), "sig"))
+    # the sets' grams are moved to their cells only
+    found = cut(_search(_cells(sets, threshold, block).join(bodies.drop("size").dropDuplicates(["sig"]), "sig"), threshold))
     classes = connected_components(found.select(F.col("sig").alias("u"), F.col("root").alias("v")))
     each = weights.join(found.groupBy("sig").agg(F.sum("links").alias("links")), "sig", "left").join(classes.withColumnRenamed("id", "sig"), "sig", "left")
     each = cut(each.select("sig", F.coalesce("component", "sig").alias("class"), "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")))
