@@ -333,6 +333,11 @@ def _stars(grams: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return grams[first], sigs[first], np.unique(links, axis=1) if links.shape[1] else links
 
 
+def _postings(grams: np.ndarray, sigs: np.ndarray) -> bytes:
+    table, index = np.unique(sigs, return_inverse=True)
+    return _bundle(*_deltas(grams), table, index.astype(np.min_scalar_type(len(table))))
+
+
 def _linked(returned: DataFrame, parts: int, threshold: float) -> DataFrame:
     """Rows of kind 0: sets with the ids of their documents, and what isn't unique in them if they have a region; 1: looked-up grams by range; 2: links."""
 
@@ -343,7 +348,7 @@ def _linked(returned: DataFrame, parts: int, threshold: float) -> DataFrame:
                 yield _kept(rows[k : k + 1000])
             grams, least, links = _stars(grams, sigs)
             bounds = np.searchsorted(_range_of(grams, parts), np.arange(parts + 1, dtype=np.uint64)).tolist()
-            rows = [(1, k, None, None, None, _bundle(grams[a:b], least[a:b])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+            rows = [(1, k, None, None, None, _postings(grams[a:b], least[a:b])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
             if rows:
                 yield _kept([*rows, (2, 0, None, None, None, _bundle(*links))])
 
@@ -360,10 +365,11 @@ def _links(kept: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for target, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(target, []).append(_open(body))
+                packed, head, table, index = _open(body)
+                held.setdefault(target, []).append((_undo(packed, head), table[index]))
         for own in held.values():
             u, v = _stars(np.concatenate([g for g, _ in own]), np.concatenate([s for _, s in own]))[2]
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])

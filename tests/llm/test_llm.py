@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, support, template, tokens, toxicity, vectext
+from plumbline.llm import chat, decontaminate, jaccard, lattice, markup, mixing, quality, sharding, support, template, tokens, toxicity, vectext
 
 LONG = "word " * 60_000  # a very long text
 ODD = [(None, "alpha beta gamma delta"), (1, None), (2, ""), (3, LONG), (4, "same text here again"), (4, "same text here again"), (5, "same text here again"), (6, "   \n\t")]
@@ -293,16 +293,148 @@ def test_keep_one(docs_of):
 # --- 7 HTML ------------------------------------------------------------------------------------------------------
 
 
-def test_template(spark):
+_TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^<>]*>|(?:[^\s<]|<(?![^<>]*>))+", re.S | re.I)
+
+
+def plain_tokens(text):
+    """(what tells tokens apart, path, whether it's a word, text, whether it ends words) in order, one token at a time."""
+    stack, before, since = [], "", 0
+    for m in _TOKEN.finditer(text or ""):
+        raw, path = m.group(), "/".join(stack)
+        if raw.startswith("<!--"):
+            continue
+        name = re.match(r"</?\s*([a-zA-Z][\w:-]*)", raw)
+        if not (raw[0] == "<" and raw[-1] == ">"):
+            yield (path, before, since, raw), path, True, raw, False
+            since += 1
+            continue
+        tag = name[1].lower()
+        classes = "" if m[1] else ".".join(sorted({w for c in re.findall(r"(?:class|id)='([^']*)'", raw) for w in c.split()}))
+        own = f"{tag}.{classes}" if classes and raw[1] != "/" else tag
+        if raw[1] == "/" and tag in markup.BLOCKS:
+            at = [k for k, x in enumerate(stack) if x.partition(".")[0] == tag]
+            del stack[at[-1] if at else len(stack) :]
+            path = "/".join(stack)
+        elif raw[1] != "/" and tag in markup.BLOCKS and not raw.endswith("/>") and not m[1]:
+            stack.append(own)
+        before, since = (raw[1] == "/", tag), 0
+        yield (path, raw[1] == "/", own), "/".join(stack), False, raw, tag in markup.BREAKS
+
+
+def brute_extract(pages):
+    """The slots of one host's pages: occurrence vectors, orders and gaps taken from all pages."""
+    read = [[*plain_tokens(p)] for p in pages]
+    n = len(pages)
+    words = {t[0]: t[2] for page in read for t in page}
+    vector = {t: tuple(sum(x[0] == t for x in page) for page in read) for t in words}
+    need = lambda word: max(2, math.ceil((template.WORD_SUPPORT if word else template.SUPPORT) * n - 1e-9))
+    vector = {t: v for t, v in vector.items() if sum(map(bool, v)) >= need(words[t])}
+    bones = [[x[0] for x in page if x[0] in vector] for page in read]
+    places = {t: [b.index(t) for b in bones if t in b] for t in vector}
+    groups = {}
+    for t, v in vector.items():
+        groups.setdefault((words[t], v), []).append(t)
+    classes = []
+    for (word, v), own in groups.items():
+        orders = [sorted(own, key=lambda t, f=f: f(places[t])) for f in (sum, min, max)]
+        kept = [t for t, x, y in zip(*orders, strict=True) if t == x == y]
+        if len(own) < template.MIN_TOKENS or (word and kept != own and len(kept) < len(own)) or len(kept) < template.MIN_TOKENS:
+            continue
+        if all([t for t in b if t in kept] == kept * (b.count(kept[0])) for b in bones):
+            classes.append((sum(map(bool, v)), kept))
+    classes.sort(key=lambda c: (-c[0], -len(c[1])))
+
+    def gaps(a, b):
+        out = set()
+        for bone in bones:
+            last = -1
+            for t in bone:
+                if t in a:
+                    last = a.index(t)
+                elif t in b and a[0] in bone:
+                    out.add(last)
+        return out
+
+    fits = lambda a, b: len(gaps(a, b)) <= 1 or gaps(a, b) == {-1, len(a) - 1}
+    nested = []
+    for _, c in classes:
+        if all(fits(k, c) or fits(c, k) for k in nested):
+            nested.append(c)
+    known = {t for c in nested for t in c}
+    out = []
+    for page in read:
+        slots, fresh, last = [], True, None
+        for t, path, word, text, ends in page:
+            if t in known or not word:
+                fresh = fresh or t in known or ends
+            else:
+                if fresh or path != last:
+                    slots.append((path, []))
+                slots[-1][1].append(text)
+                fresh, last = False, path
+        out.append([(path, " ".join(w)) for path, w in slots])
+    return len(known), out
+
+
+def site_pages(seed, n=14):
+    """Pages with a frame, two layouts, an optional block and lists of varying length."""
+    rng = random.Random(seed)
+    some = lambda k: " ".join(f"w{rng.randint(0, 99999)}" for _ in range(k))
+    for k in range(n):
+        items = "".join(f"<li><a href='/{rng.random()}'>{some(1)}</a></li>" for _ in range(rng.randint(1, 4)))
+        aside = f"<aside id='rel'><h2>Read also these</h2><p>{some(2)}</p></aside>" if k % 2 else ""
+        body = f"<table><tr><td>Price</td><td>{some(1)}</td></tr></table>" if k % 3 == 0 else f"<article><h1>{some(3)}</h1><p>By the author</p>{some(9)}<p>{some(4)}</article>"
+        yield f"<html><head><title>{some(2)}</title><script>x='<p>'</script></head><body><ul>{items}</ul><!-- no -->{body}{aside}<div class='f z'>All rights reserved <b>{some(1)}</b></div></body></html>"
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id bigint, url string, html string, h int, mark int")
+
+
+def test_templates_are_those_of_brute_force(spark):
+    sites = {f"site{k}.org": [*site_pages(k)] for k in range(3)} | {"two.org": [*site_pages(9, 2)]}
+    sites["twice.org"] = sites["site0.org"] * 2  # every page twice, with other urls
+    rows = [(len(site) * 1000 + k, f"http://{site}/{k}", p) for site, own in sites.items() for k, p in enumerate(own)]
+    rows += [(1, "http://same.org/", sites["site1.org"][k % 5]) for k in range(10)]  # rows repeated exactly
+    sites["same.org"] = [sites["site1.org"][k % 5] for k in range(10)]
+    want = {site: brute_extract(own) for site, own in sites.items()}
+    for broadcast in (template.BROADCAST_TOKENS, 0):
+        got = {}
+        for r in template.extract_pages(pages_of(spark, rows).repartition(3), broadcast_tokens=broadcast).collect():
+            got.setdefault(r["host"], []).append(r)
+        for site, (size, slots) in want.items():
+            assert {r["template_size"] for r in got[site]} == {size} and size > 5, site
+            assert sorted([(s["path"], s["text"]) for s in r["slots"]] for r in got[site]) == sorted(slots), site
+    everything = " ".join(s["text"] for r in got["site0.org"] for s in r["slots"])
+    assert not any(w in everything for w in ("rights", "reserved", "author", "also"))  # the optional block's and a layout's too
+
+
+def test_slots_have_class_and_gap(spark):
+    rows = [(k, f"http://a.org/{k}", f"<html><body><ul>{''.join(f'<li>item{k}x{j}</li>' for j in range(1 + k % 3))}</ul><p>text{k}</p></body></html>") for k in range(6)]
+    for r in template.extract_pages(pages_of(spark, rows)).collect():
+        places = {s["text"]: (s["class"], s["gap"]) for s in r["slots"]}
+        own = {v for t, v in places.items() if t.startswith("item")}
+        assert len(own) == 1 and len({places[f"text{r['page_id']}"]} | own) == 2 and (-1, -1) not in places.values()
+
+
+def test_crossing_classes_dont_nest():
+    size, on = {0: 3, 1: 3, 2: 3}, {0: 9, 1: 8, 2: 7}
+    valid = {(c, c): (1, 1) for c in size}
+    assert set(template.nest(size, on, valid | {(0, 1): (0, 0), (1, 0): (-1, 2), (0, 2): (0, 1), (2, 0): (0, 1), (1, 2): (0, 0), (2, 1): (-1, 2)})) == {0, 1}
+    assert template.nest(size, on, valid | {(0, 1): (0, 0), (1, 2): (1, 1), (0, 2): (0, 0), (1, 0): (-1, 2), (2, 0): (-1, 2), (2, 1): (-1, 2)})[2] == [(0, 0), (1, 1)]
+    assert set(template.nest(size, on, valid | {(1, 1): (0, 0)})) == {0, 2}
+
+
+def test_template_cases(spark):
     body = lambda k: f"<html><head><title>Site</title></head><body><nav><a>Home page</a></nav><div class='main'><h1>Title{k}</h1><p>Story number{k} tells of{k * 7} things</p></div><footer>All rights reserved here</footer></body></html>"
-    rows = [(k, f"http://Example.org:80/{k}", body(k), 1) for k in range(8)] + [(50, None, None, 1), (51, "http://lone.org/", "<p>Lone &amp; text", 1), (None, "//example.org/x", body(9), 1)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host int")
-    got = {r["page_id"]: r for r in template.extract_pages(pages).collect()}
-    assert len(got) == 11 and got[3]["host"] == "example.org" and got[3]["template_size"] > 5
+    rows = [(k, f"http://Example.org:80/{k}", body(k)) for k in range(8)] + [(50, None, None), (51, "http://lone.org/", "<p>Lone &amp; text"), (None, "//example.org/x", body(9))]
+    rows += [(60, "http://long.org/", "<p>" + "word " * 200_000), (61, "http://deep.org/", "<div>" * 3000 + "deep"), (62, "http://odd.org/", "a < b > c <1> <!-- open <p"), (63, "http://lone.org/", "")]
+    got = {r["page_id"]: r for r in template.extract_pages(pages_of(spark, rows)).collect()}
+    assert len(got) == 15 and got[3]["host"] == "example.org" and got[3]["template_size"] > 5
     assert "number3" in got[3]["text"] and "Title3" in got[3]["text"] and "reserved" not in got[3]["text"] and "Home" not in got[3]["text"]
     assert got[50]["slots"] == [] and got[51]["text"] == "Lone & text" and "number9" in got[None]["text"]
-    shuffled = {r["page_id"]: r for r in template.extract_pages(pages, broadcast_tokens=0).collect()}
-    assert shuffled == got and template.extract_pages(pages.limit(0)).count() == 0
+    assert len(got[60]["text"]) == 999_999 and got[61]["text"] == "deep" and "a" in got[62]["text"]
+    assert template.extract_pages(pages_of(spark, []), broadcast_tokens=0).count() == 0
 
 
 # --- 8 toxicity -----------------------------------------------------------------------------------------------------
