@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's setting, or a local one only where none is set (tests)."""
+    """The shared folder for checkpoints: the session's setting, or a local one where none is set and the session is local (tests). RuntimeError on a cluster without the setting."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
@@ -26,11 +31,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def normal_text(name: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow over all columns, whatever their names hold."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(named, schema)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case of its letters."""
     taken, name = {c.lower() for c in df.columns}, f"_{wanted}"
