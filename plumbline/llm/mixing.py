@@ -9,7 +9,8 @@ the buckets' token sums are prefix-summed, and only in the one bucket per source
 source, so that documents are chosen row by row where they are.
 
 Nulls: a null source is a source of its own; a null text is the empty text, has no tokens and the least weight; a null doc_id takes the text's hash in its place. Ties: rows equal in key and id (repeated
-rows) are drawn together or not at all. A source without tokens, or without a weight among explicit targets, gives no rows.
+rows) are drawn together or not at all. A source without tokens, or without a weight among explicit targets, gives no rows. Repeated rows count one by one. A text of any length is counted whole. An empty table gives no rows.
+Other columns may have any names; ``mix`` returns them as they were.
 """
 
 from __future__ import annotations
@@ -17,19 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import cut, normal_text
+from plumbline.llm.support import cut, free_name, normal_text
 
 SEED, BUCKETS, MAX_BROADCAST_SOURCES = 7, 1024, 10_000
 
 
 def token_count(text: Column) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"[^ \t\n\r]+"))
 
 
 def quality_weight(text: Column) -> Column:
     """Fourth power of the share of letters among what isn't white space; 0.0001 at least."""
-    letters, ink = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(F.regexp_replace(text, r"[ \t\n\r]+", ""))
+    letters, ink = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(F.translate(text, " \t\n\r", ""))
     share = F.when(ink > 0, letters.cast("double") / ink).otherwise(F.lit(0.0))
     return F.greatest(F.lit(0.0001), (share * share) * (share * share))
 
@@ -49,6 +50,7 @@ def _with_keys(docs: DataFrame, seed: int, names: tuple[str, str, str, str, str]
 
 
 _NAMES = ("__src", "__ident", "__tokens", "__key", "__bucket")
+_CUTOFF = ("epochs", "rest", "end", "before", "last")
 
 
 def plan(docs: DataFrame, targets: dict[str | None, float] | None = None, total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +59,7 @@ def plan(docs: DataFrame, targets: dict[str | None, float] | None = None, total_
     targets: shares by source; by default a source of n tokens weighs n**0.75. total_tokens: by default the least total by which no source is
     cut below one complete epoch.
     """
-    rows = cut(_with_keys(docs, seed, _NAMES).select("doc_id", "source", *_NAMES))
+    rows = cut(_with_keys(docs.select("doc_id", "source", "text"), seed, _NAMES).select("doc_id", "source", *_NAMES))
     sums = rows.groupBy("__src", "__bucket").agg(F.sum("__tokens").alias("t"))
     sums = cut(sums)  # at most BUCKETS rows a source
     size = sums.groupBy("__src").agg(F.sum("t").alias("n"))
@@ -110,10 +112,14 @@ def mixture(docs: DataFrame, targets: dict[str | None, float] | None = None, tot
 def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, total_tokens: int | None = None, seed: int = SEED) -> DataFrame:
     """docs, each row as many times as the mixture holds it; columns as they were. Texts aren't shuffled."""
     _, cutoffs = plan(docs, targets, total_tokens, seed)
-    out = _joined(_with_keys(docs, seed, _NAMES), cutoffs.withColumnsRenamed({"epochs": "__epochs", "rest": "__rest", "end": "__end", "before": "__before", "last": "__last"}))
-    drawn = (F.col("__bucket") < F.col("__end")) | ((F.col("__bucket") == F.col("__end")) & (F.struct("__key", "__ident") <= F.col("__last")))
-    times = F.col("__epochs").cast("int") + F.coalesce(drawn, F.lit(False)).cast("int")
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")
+    src, ident, _, key, bucket = names = tuple(free_name(docs, n.strip("_")) for n in _NAMES)
+    epochs, _, end, _, last = cutoff = tuple(free_name(docs, f"cut_{n}") for n in _CUTOFF)
+    copy = free_name(docs, "copy")
+    cutoffs = cutoffs.withColumnsRenamed({"__src": src, **dict(zip(_CUTOFF, cutoff, strict=True))})
+    out = _with_keys(docs, seed, names).join(F.broadcast(cutoffs) if cutoffs.count() <= MAX_BROADCAST_SOURCES else cutoffs, src)
+    drawn = (F.col(bucket) < F.col(end)) | ((F.col(bucket) == F.col(end)) & ((F.col(key) < F.col(last)["__key"]) | ((F.col(key) == F.col(last)["__key"]) & (F.col(ident) <= F.col(last)["__ident"]))))
+    times = F.col(epochs).cast("int") + F.coalesce(drawn, F.lit(False)).cast("int")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
 
 
 SQL = f"""
