@@ -9,7 +9,8 @@ The benchmark's tokens are broadcast if there are at most ``broadcast_tokens`` o
 seeds, with the same result.
 
 Nulls: a null text is the empty text and matches nothing; a row with a null doc_id is judged and reported like any other. Items without tokens match nothing. Repeated rows
-of the benchmark count once; each repeated row of docs is judged.
+of the benchmark count once; each repeated row of docs is judged. Ties between tiles of one length go to the first place in the document, then in the item. Texts of any length are tiled whole. An empty table on either side gives no
+pairs. Other columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import cut, normal_text
+from plumbline.llm.support import cut, free_name, map_rows, normal_text
 
 MIN_MATCH, THRESHOLD, BROADCAST_TOKENS = 5, 0.5, 2_000_000
 _SCHEMA = "doc_id bigint, item_id bigint, coverage double, n_tiles int, longest_tile int"
@@ -119,7 +120,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _fits(items: DataFrame, limit: int) -> bool:
-    return (items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) <= limit
+    """Whether what the index would hold, a hash a word and the texts, is within the limit (of words, and of 16 bytes of text for each)."""
+    words, size = items.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(vectext.WORD_PATTERN))), F.sum(F.octet_length("text"))).first()
+    return (words or 0) <= limit and (size or 0) <= 16 * limit
 
 
 def _index(items: DataFrame, min_match: int) -> Index:
@@ -189,8 +192,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int =
     """docs without contaminated rows; columns as they were. With a broadcast benchmark nothing is shuffled."""
     items = _items(benchmark)
     if not _fits(items, broadcast_tokens):
-        keys = cut(_by_seeds(docs, items, min_match).where(F.col("coverage") >= threshold).select(F.col("key").alias("__key")).distinct())
-        return docs.join(keys, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__key"), "left_anti")
+        key = free_name(docs, "key")
+        keys = cut(_by_seeds(docs, items, min_match).where(F.col("coverage") >= threshold).select(F.col("key").alias(key)).distinct())
+        return docs.join(keys, F.xxhash64(normal_text()) == F.col(key), "left_anti")
     index = _index(items, min_match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +206,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int =
                 keep[[h[0] for h in index.found(pc.fill_null(part.column("text"), "")) if h[2] >= threshold]] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
