@@ -12,7 +12,8 @@ of it, and planted documents carry bare insults of which only some are learned.
 
 The insult classes are seed words plus every word and word stem that labelled rows show to be toxic (stems_of).
 
-Nulls: a null text is the empty text, which isn't toxic; a null doc_id stays null; a null language is its own language.
+Nulls: a null text is the empty text, which isn't toxic; a null doc_id stays null; a null language is its own language. Repeated rows are scored one by one. Of paths of equal weight any may be the best, as only the weight counts; a score equal to the threshold
+is toxic. Texts of any length are scored whole. An empty table gives no rows. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import cut, normal_text
+from plumbline.llm.support import cut, map_rows, normal_text
 
 # --- transducers ---------------------------------------------------------------------------------
 
@@ -397,4 +398,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame | None, threshold: float = T
             keep = [scorer.score(t or "", lang or "")[0] < threshold for t, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
