@@ -16,6 +16,13 @@ LONG = "word " * 60_000  # a very long text
 ODD = [(None, "alpha beta gamma delta"), (1, None), (2, ""), (3, LONG), (4, "same text here again"), (4, "same text here again"), (5, "same text here again"), (6, "   \n\t")]
 
 
+def odd_names(docs):
+    """docs with columns of the names that operators use themselves, and names and types that need care."""
+    for name in ("_src", "__src", "_key", "__key", "_gone", "_again", "_mark", "_hash", "_target", "_copy", "key", "text_hash", "shard_at", "a`b", "c.d"):
+        docs = docs.withColumn(name, F.lit("own"))
+    return docs.withColumn("map", F.create_map(F.lit("k"), F.lit(1)))
+
+
 def words_of(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
 
@@ -58,6 +65,43 @@ def test_mixing_cases(docs_of):
     assert mixing.mixture(docs_of([])).count() == 0 and mixing.mix(docs_of([])).count() == 0
 
 
+def brute_mixture(rows, seed=mixing.SEED):
+    """repeats of (doc_id, source) by sorting each whole source; rows of distinct ids that aren't null."""
+    import hashlib
+
+    sources = {}
+    for k, text, source in rows:
+        text = text or ""
+        ink = re.sub(r"[ \t\n\r]+", "", text)
+        share = sum(c.isalpha() for c in ink) / len(ink) if ink else 0.0
+        u = (int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        sources.setdefault(source, []).append((-math.log(u) / max(1e-4, share**4), str(k), k, len(re.findall(r"[^ \t\n\r]+", text))))
+    size = {s: sum(r[3] for r in own) for s, own in sources.items()}
+    raw = {s: n**0.75 for s, n in size.items()}
+    weight = {s: raw[s] / sum(raw.values()) for s in raw if size[s]}
+    total = max(size[s] / w for s, w in weight.items())
+    out = {}
+    for s, w in weight.items():
+        budget = math.floor(total * w + 0.001)
+        left = budget % size[s]
+        for _, _, k, n in sorted(sources[s]):
+            left -= n
+            out[k, s] = budget // size[s] + (left >= 0)
+    return {k: v for k, v in out.items() if v}
+
+
+def test_mixing_is_that_of_sorted_sources(docs_of):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(("word", "w0rd", "12", "é!")) for _ in range(rng.randint(0, 30))), rng.choice("aaaab")) for k in range(300)]
+    rows += [(400, "tie tie", "c"), (401, "tie tie", "c"), (402, None, "c"), (403, "", None), (404, "one", None)]
+    want = brute_mixture(rows)
+    docs = odd_names(docs_of(rows))
+    assert {(r["doc_id"], r["source"]): r["repeats"] for r in mixing.mixture(docs).collect()} == want
+    mixed = mixing.mix(docs)
+    got = [(r["doc_id"], r["source"]) for r in mixed.collect()]
+    assert mixed.columns == docs.columns and {k: got.count(k) for k in got} == want
+
+
 # --- 2 decontamination ---------------------------------------------------------------------------------------
 
 
@@ -97,6 +141,13 @@ def test_decontamination(spark, docs_of):
         assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in got} == want
         kept = decontaminate.remove_contaminated(docs, bench, broadcast_tokens=limit)
         assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 6, 21]
+    for limit in (decontaminate.BROADCAST_TOKENS, 0):
+        named = odd_names(docs)
+        assert decontaminate.contaminated(named, bench, broadcast_tokens=limit).count() == 2
+        kept = decontaminate.remove_contaminated(named, bench, broadcast_tokens=limit)
+        assert kept.columns == named.columns and kept.count() == 9 and {r["__key"] for r in kept.collect()} == {"own"}
+    packed = spark.createDataFrame([(1, "many-words/joined,by.signs" * 100)], "item_id bigint, text string")
+    assert not decontaminate._fits(packed, 300) and decontaminate._fits(packed, 500)
     assert decontaminate.contaminated(docs_of([]), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -140,6 +191,9 @@ def test_chat_cases(spark):
     assert got[1]["rendered"] == "<|im_start|>user\nhi\n< |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n" and got[1]["cost"] == 1
     assert got[2]["roles"][-1] == "assistant" and got[None]["roles"] == ["user", "assistant"]
     assert chat.format_conversations(df.limit(0)).count() == 0
+    long = [(1, k, "user", LONG if k == 1 else "x", "y") for k in range(300)] + [(1, 5, "user", "x", "y")] * 2  # repeated rows and tied turns
+    out = chat.format_conversations(spark.createDataFrame(long, "conv_id bigint, turn bigint, role string, text string, roles string")).collect()
+    assert len(out) == 1 and out[0]["rendered"].count("word") == 60_000
 
 
 # --- 4 token output ------------------------------------------------------------------------------------------
@@ -186,6 +240,39 @@ def test_quality(spark, docs_of):
     assert quality.score_quality(docs_of([]), model).count() == 0
 
 
+def naive_features(text):
+    """Counts of each family's n-grams, by words and by characters."""
+    w = words_of(text)
+    for n in (1, 2):
+        yield [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else ([tuple(w)] if w else [])
+    for n in quality.CHARS:
+        yield [text[i : i + n] for i in range(len(text) - n + 1)]
+
+
+def test_quality_features_and_scores():
+    texts = ["añb𝄞cd añb", "", "ab", "Hello hello world, héllo", "x" * 3000]
+    weights = np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32)
+    families = [*quality.features(pa.array(texts))]
+    places = [{} for _ in families]  # what place each n-gram has got
+    total = [0.0] * len(texts)
+    for t, text in enumerate(texts):
+        for f, grams in enumerate(naive_features(text)):
+            at, first = families[f]
+            own = at[first[t] : first[t + 1]].tolist()
+            assert len(own) == len(grams)
+            assert all(places[f].setdefault(g, p) == p for g, p in zip(grams, own, strict=True))
+            total[t] += float(weights[own].mean()) if own else 0.0
+    assert quality.raw_scores(pa.array(texts), weights) == pytest.approx(total, abs=1e-5)
+    assert sum(len({*p.values()}) > 0.99 * len(p) for p in places) == len(places)
+
+
+def test_quality_tiers(docs_of):
+    model = {"weights": np.zeros(1 << quality.BITS, np.float32), "bias": 0.0, "a": 1.0}
+    for b, tier, keep in ((-1.0, "poor", False), (0.0, "fair", True), (3.0, "good", True)):
+        rows = quality.score_quality(odd_names(docs_of(ODD)), model | {"b": b}).collect()
+        assert len(rows) == len(ODD) and {(r["tier"], r["keep"]) for r in rows} == {(tier, keep)}
+
+
 # --- 6 n-gram Jaccard --------------------------------------------------------------------------------------------
 
 
@@ -456,6 +543,40 @@ def test_grammar():
             assert grammar.score("".join(classes)) == pytest.approx(brute_score(classes))
 
 
+def paths(part, symbols):
+    """(output, weight, last state) of all paths of one transducer."""
+    found = [("", 0.0, part.start)]
+    for symbol in symbols:
+        found = [(out + o, w + weight, to) for out, w, state in found for o, to, weight in part.step(state, symbol)]
+    return found
+
+
+def test_the_composed_machine_is_one_transducer_after_another():
+    grammar = toxicity.Grammar()
+    parts = [toxicity.reported(), toxicity.negation(), toxicity.target(), toxicity.threat(), toxicity.insult()]
+    rng = random.Random(7)
+    cases = ["".join(c) for n in range(4) for c in itertools.product(toxicity.INPUT, repeat=n)] + ["".join(rng.choices(toxicity.INPUT, k=rng.randint(4, 9))) for _ in range(1500)]
+    for classes in cases:
+        strings = {classes: 0.0}
+        for part in parts:
+            after = {}
+            for text, so_far in strings.items():
+                for out, weight, state in paths(part, text):
+                    if state != "want":
+                        after[out] = max(after.get(out, -1.0), so_far + weight)
+            strings = after
+        assert grammar.score(classes) == pytest.approx(max(strings.values(), default=0.0)), classes
+
+
+def test_toxicity_of_repeated_and_tied_rows(docs_of):
+    rows = [(1, "You are a total idiot."), (1, "You are a total idiot."), (2, "You are a total idiot. You are a total idiot."), (3, LONG + "You are a total idiot."), (None, "You are a total idiot.")]
+    docs = odd_names(docs_of(rows + ODD))
+    got = toxicity.toxic_documents(docs, None).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "None"] and len({r["toxicity"] for r in got}) == 1  # the highest clause counts
+    kept = toxicity.remove_toxic(docs, None)
+    assert kept.columns == docs.columns and kept.count() == len(ODD)
+
+
 def test_toxicity(docs_of):
     cases = {"You are a total idiot.": True, "You are not an idiot.": False, "They said he is an idiot": False, "I will kill you": True, "I will not kill you": False, "kill the process": False, "A quiet morning": False}
     docs = docs_of([*enumerate(cases, 100), *ODD])
@@ -542,6 +663,38 @@ def test_fisher_yates():
     assert len(counts) == 6 and min(counts.values()) > 400
 
 
+def naive_shuffle(n, seed):
+    draws, out = np.random.default_rng(seed).random(max(n - 1, 0)), [*range(n)]
+    for i, u in zip(range(n - 1, 0, -1), draws, strict=True):
+        j = int(u * (i + 1))
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+def test_shards_are_shuffled_buckets(docs_of, tmp_path, spark):
+    docs = docs_of([(k, f"text {k % 40}") for k in range(200)] + ODD)
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(sharding.SEED), *docs.columns).alias("h"))
+    rows = [tuple(r) for r in hashed.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(sharding.SEED + 1)), F.lit(7))).collect()]
+    want = {}
+    for shard in range(7):
+        own = sorted((r for r in rows if r[3] == shard), key=lambda r: (r[2], r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+        want |= {(shard, place): own[at][:2] for place, at in enumerate(naive_shuffle(len(own), sharding.SEED * 1_000_003 + shard))}
+    for partitions in (20_000, 3):  # one bucket a partition, and several
+        got = sharding.shuffle_into_shards(docs, n_shards=7, max_partitions=partitions).collect()
+        assert {(r["shard"], r["position"]): (r["doc_id"], r["text"]) for r in got} == want
+    sharding.write_shards(docs, f"{tmp_path}/shards", n_shards=7)
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert {(r["shard"], r["position"]): (r["doc_id"], r["text"]) for r in back} == want
+    assert len([*(tmp_path / "shards").glob("*.parquet")]) == 7
+
+
+def test_shards_of_odd_tables(docs_of):
+    docs = odd_names(docs_of(ODD)).withColumn("hash", F.lit("h")).withColumn("Position", F.lit("clash"))
+    out = sharding.shuffle_into_shards(docs, n_shards=3)
+    assert out.columns == [*[c for c in docs.columns if c != "Position"], "shard", "position"] and out.count() == len(ODD) and {r["map"]["k"] for r in out.collect()} == {1}
+    assert sharding.shuffle_into_shards(docs.drop("doc_id", "text")).count() == len(ODD)
+
+
 def test_shards(docs_of):
     docs = docs_of(ODD + [(k, f"text {k}") for k in range(100, 200)]).withColumn("shard", F.lit("clash"))
     out = sharding.shuffle_into_shards(docs, n_shards=4)

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from plumbline.llm import mixing, tokens
-from tests.llm.test_llm import brute_pairs
+from tests.llm.test_llm import brute_pairs, odd_names
 
 
 @pytest.fixture
@@ -34,6 +34,16 @@ def test_run(spark, folder, docs_of):
     assert sorted((r["doc_id"], tokens.unpack(bytes(r["packed"]), r["n_tokens"], r["bit_width"], r["block_size"]).tolist()) for r in got) == want
 
 
+def test_stages_with_odd_tables(spark, folder):
+    path, rows = folder
+    docs = odd_names(spark.read.parquet(f"{path}/documents.parquet"))
+    again = docs.union(docs.where("doc_id < 3"))  # repeated rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, again, path)
+        assert out.columns == docs.columns and {r["c.d"] for r in out.collect()} == {"own"}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, again, path).count() == len(rows) + 3
+
+
 def test_stages_keep_the_columns(spark, folder):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
