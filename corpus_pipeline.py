@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents pass the stages in order, each written as Parquet and read again before the next."""
+"""The corpus pipeline: documents pass the stages in order, each written as Parquet and read again before the next.
+
+Nulls: a null text is the empty text, which no stage drops for itself; mixing gives rows without tokens only complete epochs. Rows with a null doc_id are nobody's near copies, and are judged by the other stages like any row. Rows repeated under one doc_id and
+text leave the near-duplicate stage once. Ties are those of the operators. Very long texts pass whole. An empty table gives an empty result. The columns of documents, extra ones of any name too, are what each stage but the last returns.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate, jaccard, mixing, tokens, toxicity
-from plumbline.llm.support import checkpoint_dir
+from plumbline.llm.support import checkpoint_dir, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +55,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each returns is kept as Parquet in the shared checkpoint folder."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages over documents; what each returns is written as Parquet into the shared checkpoint folder, where it stays until the next one's is there. The last one's stays, as the result is read from it."""
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{name}")
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
