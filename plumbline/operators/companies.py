@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import char_cosine, require, squish, strip
+from plumbline.operators.graph import checkpointed
 
 #: Legal forms, taken out wherever they stand (also inside words), first alternative first.
 LEGAL_FORMS = ["bv", r"b\.v\.", " b v", " n v", " bv", " nv", r"n\.v\.", "vof", r"v\.o\.f\.", "cv", " llc", " ltd", "coöperatie", "stichting", "vereniging", " inc$", " usa", " b u", "limited", "gmbh", " sarl"]
@@ -42,7 +43,7 @@ def clean_and_match_companies(df: DataFrame, name_col: str, similarity_threshold
     threshold. Null or empty names match nothing.
 
     The order is total, but no single task sees it whole: rows are range-partitioned by Clean2, ``lead`` runs within each range, and the first row of the next range that isn't empty is fetched for each range's last
-    row.
+    row. The ranges are written once in the shared folder.
     """
     require(df.columns, name_col, *([tie_col] if tie_col else []))
     name = F.col(name_col).cast("string")
@@ -52,8 +53,8 @@ def clean_and_match_companies(df: DataFrame, name_col: str, similarity_threshold
     if tie_col:
         order[1] = F.col("__tie").try_cast("bigint").asc_nulls_last()
         order.insert(2, F.col("__tie").asc_nulls_last())
-    placed = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    placed = placed.sortWithinPartitions("__part", *order)
+    # ranges are drawn from a sample each time they are computed, so they are written once and read for rows and heads alike
+    placed = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     own = Window.partitionBy("__part").orderBy(*order)
     here = placed.withColumn("__next", F.lead(F.struct("Clean2", "Initial_name")).over(own)).withColumn("__n", F.row_number().over(own))
     firsts = here.where("__n = 1").select("__part", F.struct("Clean2", "Initial_name").alias("__head"))
@@ -83,6 +84,33 @@ def load_company_rules(spark: SparkSession, path: str | None = None) -> DataFram
     return rules.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
 
+def usable_rules(rules: list[tuple], strict: bool) -> list[tuple[str, list[str], str | None, str]]:
+    """(type, tokens, pattern, canonical) of the rules whose patterns compile; ValueError at one that doesn't if strict."""
+    usable = []
+    for _, kind, tokens, pattern, canonical, place in rules:
+        try:
+            for p in [*tokens, *([pattern] if pattern else [])]:
+                re.compile(p)
+            usable.append((kind, tokens, pattern, canonical))
+        except re.error as e:
+            if strict:
+                raise ValueError(f"rule {place} ({canonical}) doesn't compile: {e}") from e
+    return usable
+
+
+def needed_texts(kind: str, tokens: list[str]) -> list[str] | None:
+    """Texts of which a name in lower case must hold one for the rule to match; None if they can't be told from the patterns."""
+
+    def plain(token: str) -> list[str] | None:
+        parts = [re.sub(r"^(?:\\b|\^)+|(?:\\b|\$)+$", "", x) for x in token.split("|")]
+        return [x.lower() for x in parts] if all(x and x.isascii() and not re.search(r"[\\^$.?*+(){}\[\]]", x) for x in parts) else None
+
+    texts = [plain(t) for t in tokens]
+    if kind == "ALL":
+        return max((t for t in texts if t is not None), key=lambda t: min(map(len, t)), default=None)
+    return None if None in texts else [x for t in texts for x in t]
+
+
 def apply_company_rules(df: DataFrame, name_col: str, rules: DataFrame, strict: bool = True) -> DataFrame:
     """df with ``canonical``: of the rules that match, that of the lowest priority number, then place; null without one.
 
@@ -91,21 +119,21 @@ def apply_company_rules(df: DataFrame, name_col: str, rules: DataFrame, strict:
     """
     require(df.columns, name_col)
     table = [r.asDict() for r in rules.orderBy("priority", "place").collect()]  # a rule table is small by nature
-    usable = []
-    for r in table:
-        try:
-            for p in [*r["tokens"], *([r["pattern"]] if r["pattern"] else [])]:
-                re.compile(p)
-            usable.append((r["type"], r["tokens"], r["pattern"], r["canonical"]))
-        except re.error as e:
-            if strict:
-                raise ValueError(f"rule {r['place']} ({r['canonical']}) doesn't compile: {e}") from e
+    usable = usable_rules([(r["priority"], r["type"], r["tokens"], r["pattern"], r["canonical"], r["place"]) for r in table], strict)
 
     @F.pandas_udf("string")
     def resolve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = [(all if kind == "ALL" else any, [re.compile(t, re.I) for t in tokens], re.compile(p, re.I) if p else None, canonical) for kind, tokens, p, canonical in usable]
+        compiled = [(needed_texts(kind, tokens), all if kind == "ALL" else any, [re.compile(t, re.I) for t in tokens], re.compile(p, re.I) if p else None, canonical) for kind, tokens, p, canonical in usable]
+
+        def first(s: str) -> str | None:
+            low = s.lower() if s.isascii() else None  # other letters fold in ways of their own
+            for needed, rule, tokens, p, canonical in compiled:
+                if (low is None or needed is None or any(x in low for x in needed)) and rule(t.search(s) for t in tokens) and (p is None or p.search(s)):
+                    return canonical
+            return None
+
         for batch in batches:
-            yield pd.Series([next((c for rule, tokens, p, c in compiled if rule(t.search(s) for t in tokens) and (p is None or p.search(s))), None) if isinstance(s, str) else None for s in batch])
+            yield pd.Series([first(s) if isinstance(s, str) else None for s in batch])
 
     names = df.select(F.col(name_col).alias("__name")).where("__name is not null").distinct().withColumn("canonical", resolve("__name"))
     return df.drop("canonical").join(names, F.col(name_col) == F.col("__name"), "left").drop("__name")

@@ -19,33 +19,61 @@ class Graph:
     edges: DataFrame
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one only where none is set and the session is local. RuntimeError on a cluster without the setting."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="plumbline-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage in the session's shared checkpoint folder (a local one only where none is set)."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+    """df cut off from its lineage in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def connected_components(graph: Graph) -> DataFrame:
-    """(id, component) for each vertex; component is the smallest id that it is connected with.
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    return (
+        down.join(least, "u")
+        .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        .select("e.u", "e.v")
+        .where("u <> v")
+    )
+
 
-    Each round hooks every vertex to the least label around it and then jumps to that label's label, so long paths shorten by more than half.
+def linked_components(edges: DataFrame) -> DataFrame:
+    """(id, component) for every id that one of the edges (u, v) joins to another; component is the smallest id of its component.
+
+    Large-star and small-star steps take turns, each written once, until no edge changes. Edges become stars, so there are never more of them than at the start; the number of rounds grows with the logarithm of the longest path.
     """
+    e = checkpointed(edges.select("u", "v").where("u <> v and u is not null and v is not null").distinct())
+    before = None
+    while True:
+        e = checkpointed(_small_star(_large_star(e).distinct()).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        before = now
+
+
+def connected_components(graph: Graph) -> DataFrame:
+    """(id, component) for each vertex; component is the smallest id that it is connected with."""
     require(graph.vertices.columns, "id")
     require(graph.edges.columns, "src", "dst")
-    e = graph.edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
-    e = checkpointed(e.union(e.select("dst", "src")).distinct())
-    labels = checkpointed(graph.vertices.select("id").where("id is not null").distinct().withColumn("component", F.col("id")))
-    while True:
-        around = e.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-        hooked = labels.join(around.withColumnRenamed("src", "id"), "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("now"))
-        # a label may fall further than its own vertex saw: the least of all that hook it
-        roots = hooked.groupBy(F.col("component").alias("root")).agg(F.min("now").alias("low"))
-        new = checkpointed(hooked.join(roots, F.col("component") == F.col("root")).select("id", F.least("now", "low").alias("component"), F.col("component").alias("was")))
-        if new.where("component <> was").limit(1).count() == 0:
-            return new.select("id", "component")
-        labels = new.select("id", "component")
+    linked = linked_components(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return graph.vertices.select("id").where("id is not null").distinct().join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def giant_component(graph: Graph) -> Graph:

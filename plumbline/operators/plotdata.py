@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import require, signif
+from plumbline.functions.text import require, signif, squish
 
 
 def top_topic_words(ctfidf: DataFrame, topics: list | None = None, n_words: int = 10) -> DataFrame:
@@ -47,13 +47,19 @@ def topic_label(cluster: Column, label: Column, show_ids: bool = True) -> Column
     return F.when(cluster == 0, F.lit("Noise")).when(label.isNotNull(), named).otherwise(F.concat(F.lit("Topic "), cluster.cast("string")))
 
 
+def wrapped(text: Column, width: int) -> Column:
+    """Runs of white space as one space, and <br> instead of it where a line of whole words would grow longer than ``width``; a longer word has a line of its own."""
+    lines = F.regexp_replace(squish(text), rf"(\S{{{width},}}|.{{1,{width}}})(?:\s+|$)", "$1<br>")
+    return F.regexp_replace(lines, "<br>$", "")
+
+
 def topic_space(
     coordinates: DataFrame, text: DataFrame | None = None, x_col: str = "dim_1", y_col: str = "dim_2", cluster_col: str = "cluster", topic_labels: DataFrame | dict | None = None, show_ids: bool = True,
-    max_chars: int | None = None,
+    max_chars: int | None = 400, wrap_width: int | None = 80,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, centroids) of a topic map: points get topic_label and tooltip, centroids are the medians of each topic, noise left out.
 
-    text: (doc_id, text), joined by doc_id. topic_labels: (cluster or topic, label or Label), or a dict; repeated labels of a cluster give repeated points.
+    text: (doc_id, text), joined by doc_id; in tooltips it ends with "..." after max_chars characters, and lines break between words before wrap_width (None: neither). topic_labels: (cluster or topic, label or Label), or a dict; repeated labels of a cluster give repeated points.
     """
     require(coordinates.columns, "doc_id", x_col, y_col, cluster_col)
     points = coordinates.select("doc_id", F.col(x_col).alias("x"), F.col(y_col).alias("y"), F.col(cluster_col).cast("int").alias("cluster"))
@@ -74,8 +80,8 @@ def topic_space(
     if text is not None:
         require(text.columns, "doc_id", "text")
         points = points.join(text.select("doc_id", "text"), "doc_id", "left")
-        shown = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
-        body = F.concat(F.lit("Text: "), F.coalesce(shown, F.lit("")))
+        shown = F.col("text") if max_chars is None else F.when(F.char_length("text") > max_chars, F.concat(F.substring("text", 1, max_chars), F.lit("..."))).otherwise(F.col("text"))
+        body = F.concat(F.lit("Text: "), F.coalesce(shown if wrap_width is None else wrapped(shown, wrap_width), F.lit("")))
     head = F.concat(F.lit("Doc: "), F.col("doc_id").cast("string"), F.lit("<br>Topic: "), F.col("topic_label"), F.lit("<br>"))
     points = points.withColumn("tooltip", F.concat(head, body)).select("doc_id", "x", "y", "cluster", "topic_label", "tooltip")
     centroids = points.where("cluster <> 0").groupBy("topic_label", "cluster").agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count("*").alias("n_docs"))

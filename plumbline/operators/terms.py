@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ngrams, require
+from plumbline.operators.graph import checkpointed
 
 TOKEN_TYPE = "array<struct<pos: int, token: string, lemma: string, upos: string>>"
 Tagger = Callable[[Column], Column]
@@ -81,19 +82,20 @@ def topic_terms(
     require(data.columns, doc_col, topic_col, text_col)
     rows = data.select(F.col(doc_col).alias("doc"), F.col(topic_col).alias("topic"), F.col(text_col).alias("text"))
     pairs = rows.select("doc", "topic").distinct()
-    texts = rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+    texts = rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"), F.array_sort(F.collect_set(F.struct("topic"))).alias("topics"))
     kept = F.filter(tagger(F.coalesce("text", F.lit(""))), lambda t: t["upos"].isin(allowed_upos))
     words = F.transform(F.array_sort(kept), lambda t: F.lower(t["lemma" if use_lemma else "token"]))
     # punctuation and numbers go when the joined text is tokenized again
     clean = F.filter(F.split(F.array_join(words, " "), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.rlike(r"^\p{N}+$"))
-    by_doc = texts.select("doc", F.explode(ngrams(clean, 1, max_ngram, "_")).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    full = by_doc.withColumn("corpus", F.sum("tf").over(Window.partitionBy("term"))) if min_term_freq > 1 else by_doc.withColumn("corpus", F.lit(min_term_freq))
-    n_docs = by_doc.agg(F.count_distinct("doc").alias("N_docs"))
-    frequent = full.where(F.col("corpus") >= min_term_freq).drop("corpus")
-    by_topic = frequent.join(pairs, "doc").groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
-    by_term = frequent.groupBy("term").agg(F.count("*").alias("df_corpus"), F.sum("tf").alias("tf_corpus"))
-    filled = pairs.join(by_doc.select("doc").distinct(), "doc", "left_semi").agg(F.count_distinct("topic").alias("N_topics"))
-    scalars = n_docs.crossJoin(filled).crossJoin(frequent.agg(F.sum("tf").alias("tokens")))
+    # every document with terms has the term "" once, which counts documents and topics
+    terms = F.when(F.size("clean") > 0, F.concat(ngrams(F.col("clean"), 1, max_ngram, "_"), F.array(F.lit(""))))
+    by_doc = texts.select("doc", "topics", clean.alias("clean")).select("doc", "topics", F.explode(terms).alias("term")).groupBy("doc", "topics", "term").agg(F.count("*").alias("tf"))
+    # texts are tokenized once: all that follows is derived from this table of terms and sets of topics
+    counted = checkpointed(by_doc.groupBy("term", "topics").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs")))
+    by_term = counted.groupBy("term").agg(F.sum("docs").alias("df_corpus"), F.sum("tf").alias("tf_corpus")).where(F.col("tf_corpus") >= min_term_freq)
+    marks, by_term = counted.where("term = ''"), by_term.where("term <> ''")
+    by_topic = counted.where("term <> ''").select("term", "tf", F.explode("topics").alias("topic")).groupBy("topic.topic", "term").agg(F.sum("tf").alias("tf"))
+    scalars = marks.agg(F.sum("docs").alias("N_docs")).crossJoin(marks.select(F.explode("topics").alias("topic")).agg(F.count_distinct("topic.topic").alias("N_topics"))).crossJoin(by_term.agg(F.sum("tf_corpus").alias("tokens")))
     out = (
         by_topic.join(by_term, "term").withColumn("n_topics_with_term", F.count("*").over(Window.partitionBy("term")))
         .withColumn("total_tf_topic", F.sum("tf").over(Window.partitionBy("topic")))

@@ -71,6 +71,8 @@ def embed(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
 
 def reduce_vectors(embeddings: DataFrame, n_neighbors: int = 15, n_components: int = 10, metric: str = "cosine", reducer: str = "umap", seed: int = 42) -> DataFrame:
     """(doc_id, coords): n_components coordinates by "umap" or "pca"."""
+    if reducer not in ("umap", "pca"):
+        raise ValueError("reducer is umap or pca")
     vectors = embeddings.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     near = knn(vectors, n_neighbors, metric=metric).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("near"))
     joined = vectors.join(near, F.col("doc_id") == F.col("id"), "left").select("doc_id", "embedding", F.col("near.neighbour").alias("neighbours"), F.col("near.distance").alias("distances"))
@@ -78,13 +80,17 @@ def reduce_vectors(embeddings: DataFrame, n_neighbors: int = 15, n_components: i
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         ids, x = pdf["doc_id"].to_numpy(), np.stack(pdf["embedding"].to_numpy())
-        few = len(ids) <= max(n_components, 2)
-        if reducer == "pca" or few:
+        if reducer == "pca":
             y = layout.pca(x, n_components)
+        elif len(ids) < 2:  # nothing to lay out
+            y = np.zeros((len(ids), n_components))
         else:
-            k = min(len(v) for v in pdf["neighbours"])
-            at = np.searchsorted(ids, np.stack([v[:k] for v in pdf["neighbours"]]))
-            y = layout.umap(x, at, np.stack([v[:k] for v in pdf["distances"]]), n_components, seed)
+            # a point with fewer neighbours than others has itself, infinitely far, in the places left
+            near = [[] if v is None else list(v) for v in pdf["neighbours"]]
+            far = [[] if v is None else list(v) for v in pdf["distances"]]
+            k = max(map(len, near))
+            at = np.searchsorted(ids, np.array([v + [i] * (k - len(v)) for v, i in zip(near, ids, strict=True)]))
+            y = layout.umap(x, at, np.array([v + [np.inf] * (k - len(v)) for v in far]), n_components, seed)
         return pd.DataFrame({"doc_id": ids, "coords": list(y)})
 
     return gather(joined, run, "doc_id bigint, coords array<double>")
@@ -97,7 +103,7 @@ def cluster_vectors(reduced: DataFrame, min_pts: int = 10, assign_by_membership:
         pdf = pdf.sort_values("doc_id")
         x = np.stack(pdf["coords"].to_numpy())
         label, strength = density.hdbscan(x, min_pts)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "cluster": density.assign_all(x, label) if assign_by_membership else label, "membership": strength})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "cluster": density.assign_all(x, label, min_pts) if assign_by_membership else label, "membership": strength})
 
     return gather(reduced, run, "doc_id bigint, cluster int, membership double")
 

@@ -5,10 +5,13 @@ Inputs are built from whole tables. Doubles are rounded to six places in both en
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import ngrams
+from plumbline.functions.text import ngrams, signif
 from plumbline.operators import affiliations, companies, emotion, graph, neighbours, plotdata, rca, terms, topics
 from plumbline.plans.registry import register
 from plumbline.sources import patents
@@ -151,6 +154,67 @@ def patent_cpc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patents.cpc_classes(patent_lines(spark, sf_dir))
 
 
+def _files(spark: SparkSession, lines: DataFrame, **options: str) -> str:
+    """A folder with the lines as one text file in the shared folder."""
+    path = f"{graph.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.options(**options).text(path)
+    return path
+
+
+def _supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, value): a record for each nation, whose suppliers are the applicants, and a line that is no record for each region."""
+    who = F.struct(
+        F.struct(F.col("s_name").alias("value")).alias("extracted_name"), F.when(F.col("s_acctbal") > 0, F.col("n_name")).alias("residence"),
+        F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("Street "), "s_suppkey")).alias("extracted_address"),
+    )
+    nation = (
+        table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+        .groupBy("n_nationkey", "n_name", "n_regionkey")
+        .agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("s_suppkey").isNotNull(), F.struct("s_suppkey", who.alias("who"))))), lambda x: x["who"]).alias("who"))
+    )
+    claims = F.struct(F.when(F.col("n_regionkey") == 1, F.struct(F.lit("2001-01-01").alias("date"))).alias("earliest_claim"), F.array(F.struct(F.lit("2002-02-02").alias("date"))).alias("claims"))
+    biblio = F.struct(
+        F.when(F.col("n_regionkey") < 3, F.struct(F.lit("de").alias("lang"), F.col("n_name").alias("text"))).alias("invention_title"), claims.alias("priority_claims"),
+        F.when(F.size("who") > 0, F.struct(F.col("who").alias("applicants"))).alias("parties"), F.when(F.col("n_regionkey") == 2, F.struct(F.col("n_nationkey").alias("patent_count"))).alias("cited_by"),
+    )
+    families = F.struct(F.struct(F.size("who").alias("size")).alias("simple_family"), F.struct((F.size("who") + 1).alias("size")).alias("extended_family"))
+    good = nation.select(F.col("n_nationkey").alias("place"), F.to_json(F.struct(F.format_string("N%02d", F.col("n_nationkey").cast("int")).alias("lens_id"), F.col("n_name").alias("jurisdiction"), biblio.alias("biblio"), families.alias("families"))).alias("value"))
+    bad = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 5).alias("place"), F.when(F.col("r_regionkey") == 0, F.lit("")).otherwise(F.concat(F.lit("{bad "), "r_name")).alias("value"))
+    return good.union(bad)
+
+
+_RECORDS = """
+a AS (SELECT s_nationkey, string_agg(s_name, '; ' ORDER BY s_suppkey) AS applicants, count(*)::BIGINT AS n, string_agg(CASE WHEN s_acctbal > 5000 THEN 'Street ' || s_suppkey END, '; ' ORDER BY s_suppkey) AS addresses,
+             string_agg(CASE WHEN s_acctbal > 0 THEN n_name END, '; ' ORDER BY s_suppkey) AS countries FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey),
+p AS (SELECT n_nationkey AS place, printf('N%02d', n_nationkey) AS lens_id, n_name AS jurisdiction, CASE WHEN n_regionkey < 3 THEN n_name END AS title, CASE WHEN n_regionkey = 1 THEN '2001-01-01' ELSE '2002-02-02' END AS priority_date, applicants,
+             CASE WHEN n_regionkey = 2 THEN n_nationkey ELSE 0 END::BIGINT AS cited_by_count, coalesce(n, 0)::BIGINT AS simple_family_size, coalesce(n, 0)::BIGINT + 1 AS extended_family_size, addresses AS applicant_addresses, countries AS applicant_countries
+      FROM nation LEFT JOIN a ON s_nationkey = n_nationkey)
+"""
+_RECORD_COLUMNS = ["lens_id", "jurisdiction", "title", "priority_date", "applicants", "cited_by_count", "simple_family_size", "extended_family_size", "applicant_addresses", "applicant_countries"]
+
+
+@register("patent_addresses", f"WITH {_RECORDS} SELECT {', '.join(_RECORD_COLUMNS)} FROM p")
+def patent_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patents.patent_info(_supplier_records(spark, sf_dir).select("value"), addresses=True).select(*_RECORD_COLUMNS)
+
+
+@register("patent_files", f"WITH {_RECORDS}, f AS (SELECT 'plain' AS file UNION ALL SELECT 'gzip') SELECT file, {', '.join(_RECORD_COLUMNS)} FROM p, f UNION ALL SELECT 'bad', CASE WHEN r_regionkey = 0 THEN '' ELSE '{{bad ' || r_name END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM region")
+def patent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read from a plain and a gzip file, and the plain file's lines that are none."""
+    lines = _supplier_records(spark, sf_dir).orderBy("place", "value").select("value")
+    plain, packed = (patents.read_lines(spark, _files(spark, lines, **o)) for o in ({}, {"compression": "gzip"}))
+    info = [patents.patent_info(x, addresses=True).select(F.lit(n).alias("file"), *_RECORD_COLUMNS) for n, x in (("plain", plain), ("gzip", packed))]
+    bad = patents.bad_records(plain).select(F.lit("bad").alias("file"), F.col("value").alias("lens_id"))
+    return info[0].union(info[1]).unionByName(bad, allowMissingColumns=True)
+
+
+@register("patent_first_records", "SELECT CAST(o_orderkey AS VARCHAR) AS lens_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderkey LIMIT 100")
+def patent_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """max_records: the first hundred lines of a file of all records."""
+    lines = patent_lines(spark, sf_dir).orderBy(F.get_json_object("value", "$.lens_id").cast("bigint"))
+    return patents.patent_info(patents.read_lines(spark, _files(spark, lines, compression="gzip"), max_records=100)).select("lens_id")
+
+
 # --- terms of topics ---------------------------------------------------------------------------------------
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -185,6 +249,17 @@ def topic_tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(terms.topic_tfidf(table(spark, sf_dir, "documents"), topic_col="source", max_ngram=2), "idf", "tfidf")
 
 
+_STOP = ["THE", "and", "not there"]
+_COUNTED = _TFIDF.replace("WHERE text <> ''", "WHERE text <> '' AND source NOT IN ('src1', 'src2')").replace("c AS (SELECT topic, term, count(*) AS n FROM t", "c AS (SELECT topic, term, count(*) AS n FROM t WHERE term NOT IN ('the', 'and', 'not there')")
+_COUNTED = _COUNTED.replace("n * idf AS tfidf", "n::DOUBLE AS tfidf")
+
+
+@register("topic_counts_topn", f"WITH {_COUNTED} SELECT topic, term, n, n_topics_with_term, NULL::DOUBLE AS idf, tfidf, rank::INTEGER AS rank FROM r WHERE rank <= 5")
+def topic_counts_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts instead of TF-IDF, without some words and topics."""
+    return terms.topic_tfidf(table(spark, sf_dir, "documents"), topic_col="source", max_ngram=2, top_n=5, use_tfidf=False, stopwords=_STOP, exclude_topics=["src1", "src2", "none"])
+
+
 @register(
     "topic_terms_corpus",
     rf"""
@@ -264,9 +339,35 @@ def company_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies.apply_company_rules(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", rules)
 
 
-@register("company_rules_builtin")
+def _rule_names() -> list[tuple[int, str]]:
+    """Names that the packaged rules are about: each rule's canonical name, its tokens' first texts one after another, and the same in capitals with more around them."""
+    out = []
+    for _, kind, tokens, _, canonical, _ in companies.builtin_rules():
+        first = [re.sub(r"\\b|[\\^$().?*]", "", t.split("|")[0]) for t in tokens]
+        out += [canonical, " ".join(first if kind == "ALL" else first[:1]), f"The {' & '.join(first).upper()} Group"]
+    return list(enumerate(out))
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rules_sql() -> str:
+    usable = companies.usable_rules(sorted(companies.builtin_rules(), key=lambda r: (r[0], r[5])), strict=False)
+    tests = (f" {'AND' if kind == 'ALL' else 'OR'} ".join(f"regexp_matches(name, {_quote(t)}, 'i')" for t in tokens) + f" THEN {_quote(canonical)}" for kind, tokens, _, canonical in usable)
+    return f"SELECT id, name, CASE {' '.join(f'WHEN {t}' for t in tests)} END AS canonical FROM (VALUES {', '.join(f'({k}, {_quote(n)})' for k, n in _rule_names())}) v(id, name)"
+
+
+@register("company_rules_builtin", _rules_sql())
 def company_rules_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packaged rules over customer and supplier names; no SQL, as the patterns are those of the rule file."""
+    """The packaged rules over names of which every rule has its own."""
+    names = spark.createDataFrame(_rule_names(), "id int, name string")
+    return companies.apply_company_rules(names, "name", companies.load_company_rules(spark), strict=False)
+
+
+@register("company_rules_customers", "SELECT name, NULL::VARCHAR AS canonical FROM (SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier)")
+def company_rules_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packaged rules over customer and supplier names, none of which is a company that they know."""
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(table(spark, sf_dir, "supplier").select("s_name"))
     return companies.apply_company_rules(names, "name", companies.load_company_rules(spark), strict=False)
 
@@ -275,7 +376,7 @@ def company_rules_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    """Nations and regions as vertices; a nation is linked with its region, and a customer's nation with its market segment."""
+    """Nations, regions and suppliers as vertices; a nation is linked with its region, and suppliers are isolated."""
     nation = table(spark, sf_dir, "nation")
     edges = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey"))).distinct()
@@ -298,11 +399,26 @@ def giant_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.giant_component(_trade(spark, sf_dir)).vertices
 
 
-@register("giant_component_trade")
-def giant_component_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The giant component of suppliers and parts linked by all lines; no SQL, as a recursive one is too slow on the whole table."""
+_ROUNDS = 8
+_TRADE = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), k0 AS (SELECT DISTINCT a AS id, a AS low FROM g)"
+for _k in range(_ROUNDS):  # labels spread along edges; every path of this graph is shorter than the rounds
+    _TRADE += f", k{_k + 1} AS MATERIALIZED (SELECT k.id, least(k.low, min(n.low)) AS low FROM k{_k} k JOIN g ON g.a = k.id JOIN k{_k} n ON n.id = g.b GROUP BY k.id, k.low)"
+
+
+def _lines_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """Suppliers and parts linked by all lines."""
     edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-    return graph.giant_component(graph.Graph(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges)).vertices
+    return graph.Graph(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges)
+
+
+@register("connected_components_trade", f"WITH {_TRADE} SELECT id, low AS component FROM k{_ROUNDS}")
+def connected_components_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connected_components(_lines_graph(spark, sf_dir))
+
+
+@register("giant_component_trade", f"WITH {_TRADE}, t AS (SELECT low FROM k{_ROUNDS} GROUP BY low ORDER BY count(*) DESC, low LIMIT 1) SELECT id FROM k{_ROUNDS} SEMI JOIN t USING (low)")
+def giant_component_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.giant_component(_lines_graph(spark, sf_dir)).vertices
 
 
 # --- neighbours and topics -------------------------------------------------------------------------------------
@@ -404,6 +520,70 @@ def topic_terms_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plotdata.topic_terms_grid(_scores(spark, sf_dir).withColumnsRenamed({"word": "term", "score": "tfidf"}))[0]
 
 
+@register(
+    "topic_words_chosen",
+    f"""WITH {_SCORES}, r AS (SELECT *, rank() OVER (PARTITION BY topic ORDER BY score DESC) AS r FROM s WHERE topic IN ('Brand#13', 'Brand#2') QUALIFY r <= 3)
+SELECT topic, word, score, row_number() OVER (PARTITION BY topic ORDER BY score, word DESC)::INTEGER AS panel_order FROM r""",
+)
+def topic_words_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plotdata.top_topic_words(_scores(spark, sf_dir), topics=["Brand#2", "Brand#13", "none"], n_words=3)
+
+
+def _first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_scores with the first order of each brand's size, and counts as integers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy(F.col("p_brand").alias("topic"), F.concat(F.lit("size "), "p_size").alias("term")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("seen"))
+
+
+_SEEN = "s AS (SELECT p_brand AS topic, 'size ' || p_size AS term, count(*) AS n, min(l_orderkey) AS seen FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)"
+
+
+@register(
+    "topic_grid_first_seen",
+    f"""WITH {_SEEN}, t AS (SELECT topic FROM s GROUP BY topic ORDER BY min(seen), topic LIMIT 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM s SEMI JOIN t USING (topic) QUALIFY r <= 4)
+SELECT topic, term, n AS value, row_number() OVER (PARTITION BY topic ORDER BY n, term DESC)::INTEGER AS panel_order, (SELECT ceil(sqrt(count(*)))::INTEGER FROM t) AS grid_columns FROM r""",
+)
+def topic_grid_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics that appear first, by counts, with the number of columns of the grid."""
+    grid, columns = plotdata.topic_terms_grid(_first_seen(spark, sf_dir), n_topics=5, n_terms=4, metric="n", order_col="seen")
+    return grid.withColumn("grid_columns", F.lit(columns))
+
+
+@register(
+    "topic_grid_chosen",
+    f"""WITH {_SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM s WHERE topic IN ('Brand#13', 'Brand#2') QUALIFY r <= 4)
+SELECT topic, term, n AS value, row_number() OVER (PARTITION BY topic ORDER BY n, term DESC)::INTEGER AS panel_order, (SELECT ceil(sqrt(count(DISTINCT topic)))::INTEGER FROM r) AS grid_columns FROM r""",
+)
+def topic_grid_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid, columns = plotdata.topic_terms_grid(_first_seen(spark, sf_dir), n_terms=4, metric="n", topics=["Brand#2", "none", "Brand#13"])
+    return grid.withColumn("grid_columns", F.lit(columns))
+
+
+_WRAPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '(\S{20,}|.{1,20})(?:\s+|$)', '\1<br>', 'g'), '<br>$', '')"
+
+
+@register(
+    "topic_tooltips",
+    f"""SELECT doc_id, n_chars::DOUBLE AS x, doc_id::DOUBLE AS y, length(lang)::INTEGER AS cluster, 'a ' || lang AS topic_label, 'Doc: ' || doc_id || '<br>Topic: a ' || lang || '<br>Text: ' || coalesce({_WRAPPED}, '') AS tooltip
+FROM (SELECT DISTINCT ON (doc_id) doc_id, n_chars, lang, text FROM documents)""",
+)
+def topic_tooltips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tooltips with shortened and wrapped texts, and labels from a table without ids."""
+    docs = table(spark, sf_dir, "documents")
+    places = docs.select("doc_id", F.col("n_chars").cast("double").alias("dim_1"), F.col("doc_id").cast("double").alias("dim_2"), F.col("lang"), F.char_length("lang").alias("cluster"))
+    points, _ = plotdata.topic_space(places.drop("lang"), text=docs.select("doc_id", "text"), max_chars=60, wrap_width=20)
+    named = places.select("doc_id", F.concat(F.lit("a "), "lang").alias("label"))
+    own = points.join(named, "doc_id")
+    return own.withColumn("tooltip", F.replace("tooltip", F.concat(F.lit("Topic: "), "topic_label", F.lit("<br>Text")), F.concat(F.lit("Topic: "), "label", F.lit("<br>Text")))).withColumn("topic_label", F.col("label")).drop("label")
+
+
+@register("signif_prices", "SELECT p_partkey, round(round(p_retailprice / pow(10.0::DOUBLE, floor(log10(p_retailprice)) - 2)) * pow(10.0::DOUBLE, floor(log10(p_retailprice)) - 2), 6) AS price, CASE WHEN p_size > 10 THEN round(p_size / 10.0::DOUBLE) * 10 ELSE p_size END::DOUBLE AS size FROM part")
+def signif_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.when(F.col("p_size") > 10, signif(F.col("p_size").cast("double"), 1)).otherwise(F.col("p_size").cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(signif(F.col("p_retailprice")), 6).alias("price"), size.alias("size"))
+
+
 def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.get(v, F.lit(0)).alias("dim_1"), F.get(v, F.lit(1)).alias("dim_2"), F.col("label").cast("int").alias("cluster"))

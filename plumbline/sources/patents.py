@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
-    """The lines of a file or folder; with max_records the first so many physical lines (single file order)."""
+    """The lines of a file or folder; with max_records the first so many physical lines, in order of file and place."""
     if max_records is None:
         return spark.read.text(path)
-    numbered = spark.read.text(path).rdd.zipWithIndex().filter(lambda x: x[1] < max_records).map(lambda x: (x[0][0],))
-    return spark.createDataFrame(numbered, "value string")
+    placed = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    return placed.orderBy("file_path", "file_block_start", "place").limit(max_records).select("value")
 
 
 def parse(lines: DataFrame) -> DataFrame:

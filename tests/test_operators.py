@@ -1,12 +1,14 @@
 """Golden and edge cases of the library's own operators (values: FIXTURES.md)."""
 
 import json
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import char_cosine, ngrams, signif, squish
-from plumbline.operators import affiliations, companies, emotion, graph, neighbours, plotdata, rca, terms
+from plumbline.operators import affiliations, companies, density, emotion, graph, layout, neighbours, plotdata, rca, terms, topics
 from plumbline.sources import patents
 
 
@@ -54,6 +56,56 @@ def test_company_names(spark):
     assert rows(companies.clean_and_match_companies(odd.limit(0), "company")) == []
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_company_matches_over_many_ranges(spark, adaptive):
+    """Rows at the borders of ranges are compared with the first row of the next range, as one global order has it."""
+    names = [f"{'abc'[k % 3]}{k:04d} {'xyz'[k * 7 % 3]}{k % 11}" for k in range(3000)]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, company string").repartition(5)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = {r["Initial_name"]: r["Matched"] for r in companies.clean_and_match_companies(df, "company", 0.0, "id").collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    order = sorted(range(3000), key=lambda k: (" ".join(sorted(names[k].split())), k))
+    assert got == {names[k]: (names[order[i + 1]] if i + 1 < 3000 else None) for i, k in enumerate(order)}
+
+
+def test_results_are_ordered(spark):
+    df = spark.createDataFrame([(3, "b c"), (1, "c a"), (2, "a b"), (4, None)], "id int, company string")
+    assert [r["Clean2"] for r in companies.clean_and_match_companies(df, "company").collect()][-3:] == ["a b", "a c", "b c"]
+    docs = spark.createDataFrame([(k, k % 2, f"w{k} w{k} common common w{k % 3}") for k in range(6)], "doc_id int, cluster int, text string")
+    found = [(r["topic"], r["rank"], -r["tfidf"]) for r in terms.topic_tfidf(docs, min_char=1, min_term_freq=1).collect()]
+    assert found == sorted(found) and len(found) > 4
+    found = [(r["topic"], -r["c_tf_idf"], r["term"]) for r in terms.topic_terms(docs, topic_col="cluster", min_term_freq=1).collect()]
+    assert found == sorted(found) and len(found) > 4
+
+
+def test_rules_that_need_texts(spark):
+    """The texts that a rule needs leave out no name that it matches."""
+    assert companies.needed_texts("ALL", ["akzo", "nobel|novel"]) in (["akzo"], ["nobel", "novel"]) and companies.needed_texts("ANY", ["x.y", "hu"]) is None
+    assert companies.needed_texts("ANY", [r"\bloo\b", "^Hee"]) == ["loo", "hee"] and companies.needed_texts("ALL", ["a+"]) is None
+    rules = [r for r in companies.usable_rules(companies.builtin_rules(), strict=False)]
+    for kind, tokens, _, _ in rules:
+        needed = companies.needed_texts(kind, tokens)
+        for name in (" ".join(re.sub(r"\\b|[\\^$().?*]", "", t.split("|")[k % len(t.split("|"))]) for t in tokens) for k in range(2)):
+            hit = (all if kind == "ALL" else any)(re.search(t, name, re.I) for t in tokens)
+            assert not hit or needed is None or any(x in name.lower() for x in needed), (tokens, name)
+
+
+def test_rule_file(spark, tmp_path):
+    path = tmp_path / "rules.jsonl"
+    path.write_text(json.dumps({"priority": 2, "type": "ANY", "tokens": ["acme"], "canonical": "Acme"}) + "\n" + json.dumps({"priority": 1, "type": "ALL", "tokens": ["acme", "labs"], "pattern": "^the", "canonical": "Acme Labs"}))
+    rules = companies.load_company_rules(spark, str(path))
+    df = spark.createDataFrame([("The Acme Labs",), ("Acme Labs",), ("ACME ſ",)], "name string")
+    assert dict(rows(companies.apply_company_rules(df, "name", rules))) == {"The Acme Labs": "Acme Labs", "Acme Labs": "Acme", "ACME ſ": "Acme"}
+    path.write_text(json.dumps({"priority": 2, "type": "ANY", "tokens": ["acme"]}))
+    with pytest.raises(ValueError):
+        companies.load_company_rules(spark, str(path))
+
+
 def test_company_rules(spark):
     rules = spark.createDataFrame([(1, "ALL", ["akzo", "nobel|novel"], None, "Akzo", 1), (2, "ALL", ["HUAWEI"], None, "Huawei", 2), (24, "ANY", ["hu", "hogeschool utrecht"], None, "HU", 3)], companies.RULE_SCHEMA)
     df = spark.createDataFrame([("Huawei Tech",), ("AKZO NOVEL NV",), ("none",), (None,), ("HU",)], "name string")
@@ -110,6 +162,88 @@ def test_knn(spark):
     assert {(r["id"], r["neighbour"]) for r in neighbours.knn(df, 1, block=1).collect()} == set(near.items())
 
 
+def planted(n=40, size=8, seed=0):
+    """Three groups of directions, and two vectors far from all."""
+    rng = np.random.default_rng(seed)
+    base = np.eye(size)[:3]
+    x = np.concatenate([b + rng.normal(0, 0.02, (n, size)) for b in base] + [10 * np.eye(size)[4:5], -10 * np.eye(size)[5:6]])
+    return x, np.array([1] * n + [2] * n + [3] * n + [0, 0])
+
+
+def test_pca_and_layout():
+    x, truth = planted()
+    y = layout.pca(x, 4)
+    centred = x - x.mean(axis=0)
+    values, vectors = np.linalg.eigh(centred.T @ centred)
+    want = np.abs(centred @ vectors[:, np.argsort(-values)[:4]])
+    assert np.abs(y) == pytest.approx(want, abs=1e-8)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    z = layout.umap(x, near, np.take_along_axis(d, near, 1), 2, 42)
+    own = np.array([np.sqrt(((z[truth == c] - z[truth == c].mean(axis=0)) ** 2).sum(axis=1)).mean() for c in (1, 2, 3)])
+    centres = np.array([z[truth == c].mean(axis=0) for c in (1, 2, 3)])
+    apart = min(np.sqrt(((centres[a] - centres[b]) ** 2).sum()) for a, b in ((0, 1), (0, 2), (1, 2)))
+    assert apart > 2 * own.max() and (z == layout.umap(x, near, np.take_along_axis(d, near, 1), 2, 42)).all()
+    i, j, w = layout.fuzzy_graph(near, np.take_along_axis(d, near, 1))
+    pairs = {(a, b): c for a, b, c in zip(i.tolist(), j.tolist(), w.tolist(), strict=True)}
+    assert all(pairs[b, a] == pytest.approx(c) and -1e-9 <= c <= 1 + 1e-9 for (a, b), c in pairs.items())
+
+
+def test_spanning_tree_and_clusters():
+    x, truth = planted(15)
+    n, k = len(x), 5
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, k - 1]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    edges = sorted((reach[a, b], a, b) for a in range(n) for b in range(a))  # Kruskal by brute force
+    group, total = [*range(n)], 0.0
+    for w, a, b in edges:
+        if group[a] != group[b]:
+            total += w
+            old, new = group[a], group[b]
+            group = [new if g == old else g for g in group]
+    _, _, weights = density.spanning_tree(x, k)
+    assert len(weights) == n - 1 and weights.sum() == pytest.approx(total)
+    label, strength = density.hdbscan(x, k)
+    assert (label[truth > 0] == truth[truth > 0]).all() and (label[truth == 0] == 0).all() and (strength[label == 0] == 0).all()
+    share = density.soft_membership(x, label, k)
+    assert share.sum(axis=1) == pytest.approx(np.ones(n)) and (share.argmax(axis=1)[label > 0] + 1 == label[label > 0]).all()
+    for p in np.flatnonzero(label == 0):
+        least = [reach[p, label == c].min() for c in (1, 2, 3)]
+        assert share[p] == pytest.approx((1 / np.array(least)) / (1 / np.array(least)).sum())
+    assert (density.assign_all(x, label, k) > 0).all() and (density.assign_all(x, np.zeros(n, int), k) == 0).all()
+
+
+def test_topics_of_planted_groups(spark):
+    x, truth = planted()
+    docs = spark.createDataFrame([(k, f"text {k}", v.tolist()) for k, v in enumerate(x)], "doc_id bigint, text string, embedding array<double>")
+    for reducer in ("umap", "pca"):
+        found = topics.identify_topics(docs, n_components=3, reducer=reducer, assign_by_membership=True)
+        label = {r["doc_id"]: r["cluster"] for r in found.documents.collect()}
+        assert len({label[k] for k in range(120)}) == 3 and all(len({label[k] for k in range(40 * g, 40 * g + 40)}) == 1 for g in range(3)) and min(label.values()) > 0
+        assert found.coordinates.columns == ["doc_id", "dim_1", "dim_2", "dim_3", "cluster"] and found.coordinates.count() == len(x)
+    grid = topics.identify_topics_grid(docs, {"given": None}, [10, 15], [2], [5], reducer="pca").collect()
+    assert [(r["n_neighbors"], r["n_topics"]) for r in grid] == [(10, 3), (15, 3)] and all(r["perc_outliers"] == r["n_outliers"] / len(x) for r in grid)
+    few = topics.identify_topics(docs.limit(3), n_components=4)  # fewer documents than components are laid out all the same
+    assert few.documents.count() == 3 and {r["cluster"] for r in few.documents.collect()} == {0}
+    one = topics.identify_topics(docs.limit(1))
+    assert one.documents.count() == 1
+    with pytest.raises(ValueError):
+        topics.reduce_vectors(docs, reducer="none")
+
+
+def test_encoders_taggers_and_scorers(spark):
+    df = spark.createDataFrame([(1, "Good river"), (2, None)], "doc_id bigint, text string")
+    vectors = rows(topics.embed(df, topics.model_encoder(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))))
+    assert vectors == [(1, [10.0, 1.0]), (2, [0.0, 1.0])]
+    length = [sum(v * v for v in r["embedding"]) for r in topics.embed(df).collect()]
+    assert length == pytest.approx([1.0, 0.0])
+    tagger = terms.model_tagger(lambda: lambda texts: [[{"pos": k + 1, "token": w, "lemma": w.lower() + "s", "upos": "NOUN" if w[0].islower() else "ADJ"} for k, w in enumerate(t.split())] for t in texts])
+    got = terms.topic_tfidf(df.withColumn("cluster", F.lit(1)), tagger=tagger, min_term_freq=1).collect()
+    assert [r["term"] for r in got] == ["rivers"]
+
+
 def test_emotion(spark):
     df = spark.createDataFrame([("AeI b!",), (None,), ("",)], "text string")
     got = rows(emotion.predict_vad(df))

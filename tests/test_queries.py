@@ -25,7 +25,7 @@ def table(df: pd.DataFrame) -> list[tuple[str, ...]]:
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["rca_fractional", "split_affiliations", "json_path_extract", "patents_flat", "topic_tfidf_topn", "company_match", "giant_component", "knn_cosine", "topic_top_words_ties", "topic_centroids"])
+@pytest.mark.parametrize("name", [*registry.oracle_sql()])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for path in DATA.glob("*.parquet"):
