@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import connected_components, cut, free_name, normal_text
+from plumbline.llm.support import connected_components, cut, free_name, normal_text, releasing
 
 N, THRESHOLD = 3, 0.5
 GROUPS, LEAF, BLOCK = 64, 32, 2048
 #: N-grams gathered by a task before they are sent on, and the doc_ids up to which a list of dropped documents is broadcast.
-FLUSH, BROADCAST_IDS = 1 << 21, 1_000_000
+FLUSH, BROADCAST_IDS = 1 << 19, 1_000_000
 
 
 # --- the tree ------------------------------------------------------------------------------------
@@ -221,7 +221,7 @@ def _gather(docs: DataFrame, n: int, parts: int, flush_grams: int) -> DataFrame:
         if held or empty:
             yield send()
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(run, _PIECES)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(releasing(run), _PIECES)
 
 
 def _shared(pieces: DataFrame, parts: int) -> DataFrame:
@@ -254,7 +254,7 @@ def _shared(pieces: DataFrame, parts: int) -> DataFrame:
                 hit[hit] = grams[at[hit]] == mine[hit]
                 yield _pieces([(0, flush, part, _bundle(np.packbits(hit), level[at[hit]], *_deltas(mine[hit])))])
 
-    return pieces.repartitionById(parts, F.col("target")).mapInArrow(run, _PIECES)
+    return pieces.repartitionById(parts, F.col("target")).mapInArrow(releasing(run), _PIECES)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -352,7 +352,7 @@ def _linked(returned: DataFrame, parts: int, threshold: float) -> DataFrame:
             if rows:
                 yield _kept([*rows, (2, 0, None, None, None, _bundle(*links))])
 
-    return returned.repartition("flush").sortWithinPartitions("flush", "part").mapInArrow(run, _KEPT)
+    return returned.repartition("flush").sortWithinPartitions("flush", "part").mapInArrow(releasing(run), _KEPT)
 
 
 def _links(kept: DataFrame, parts: int) -> DataFrame:
@@ -375,7 +375,7 @@ def _links(kept: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     inside = kept.where("kind = 2").select("body").mapInArrow(opened, "u bigint, v bigint")
-    return inside.union(kept.where("kind = 1").select("target", "body").repartitionById(parts, F.col("target")).mapInArrow(between, "u bigint, v bigint"))
+    return inside.union(kept.where("kind = 1").select("target", "body").repartitionById(parts, F.col("target")).mapInArrow(releasing(between), "u bigint, v bigint"))
 
 
 def _cells(sets: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -425,7 +425,7 @@ def _search(cells: DataFrame, threshold: float) -> DataFrame:
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(links[some]), pa.array(sig[root[some]])], names=["sig", "links", "root"])
 
-    return cells.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "sig").mapInArrow(run, "sig bigint, links bigint, root bigint")
+    return cells.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "sig").mapInArrow(releasing(run), "sig bigint, links bigint, root bigint")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, flush_grams: int = FLUSH) -> DataFrame:

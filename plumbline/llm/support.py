@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,25 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.operators.graph import checkpointed, linked_components, shared_folder
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's setting, or a local one where none is set and the session is local (tests). RuntimeError on a cluster without the setting."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
-    spark.sparkContext.setCheckpointDir(path)
-    return jsc.getCheckpointDir().get()
+    """The shared folder for checkpoints: the session's setting, or a local one where none is set and the session is local (tests)."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -43,6 +34,24 @@ def normal_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives freed memory back to the system at its end: workers are used again by later stages, and an executor's memory holds them too."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return inner
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """mapInArrow over all columns, whatever their names hold."""
     names = df.columns
@@ -61,37 +70,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return (
-        down.join(least, "u")
-        .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        .select("e.u", "e.v")
-        .where("u <> v")
-    )
-
-
-def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
-    """(id, component) for every id that an edge joins to another; component is the smallest id of its component.
-
-    Alternates large-star and small-star steps, each hashed and checkpointed, until no edge changes;
-    the number of rounds grows with the logarithm of the longest path, and no vertex is ever collected whole.
-    """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v and u is not null and v is not null").distinct()
-    e, before = cut(e), None
-    while True:
-        e = cut(_small_star(_large_star(e).distinct()).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component) for every id that an edge (u, v) joins to another; component is the smallest id of its component."""
+    return linked_components(edges)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import normal_text
+from plumbline.llm.support import normal_text, releasing
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK = 1024
@@ -76,7 +76,7 @@ def read_range(packed: bytes, offsets: np.ndarray, n: int, width: int, start: in
 class Encoder:
     """Whole-text ids of a sentencepiece model, by distinct words; words met before are kept up to a bound."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         import sentencepiece
 
         self.model, self.keep, self.known = sentencepiece.SentencePieceProcessor(model_file=path), keep, {}
@@ -94,10 +94,10 @@ class Encoder:
             self.known, new = {}, unique
         for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
             # between spaces an empty word is the space sign alone
-            self.known[w] = np.array(ids if w else [self.model.piece_to_id("▁")], np.uint32)
+            self.known[w] = np.array(ids if w else [self.model.piece_to_id("▁")], np.uint32).tobytes()
         parts = [self.known[w] for w in unique]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        flat = np.frombuffer(b"".join(parts), np.uint32)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         index = places.indices.to_numpy()
         each = sizes[index]
@@ -122,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for part in vectext.chunks(batch, at_most=1 << 22):
+            for part in vectext.chunks(batch):
                 ids, first = encoder.encode(part.column("text"))
                 packed, offsets = zip(*(pack(ids[a:b], encoder.width, block) for a, b in zip(first[:-1], first[1:], strict=True)), strict=True)
                 k = part.num_rows
@@ -131,4 +131,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLO
                     names=["doc_id", "n_tokens", "bit_width", "block_size", "block_offsets", "packed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(releasing(run), SCHEMA)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import cut, map_rows, normal_text
+from plumbline.llm.support import cut, map_rows, normal_text, releasing
 
 # --- transducers ---------------------------------------------------------------------------------
 
@@ -398,4 +398,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame | None, threshold: float = T
             keep = [scorer.score(t or "", lang or "")[0] < threshold for t, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_rows(docs, run, docs.schema)
+    return map_rows(docs, releasing(run), docs.schema)
