@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import connected_components, cut, free_name, normal_text, releasing
+from plumbline.llm.support import connected_components, cut, free_name, free_shuffles, normal_text, releasing
 
 N, THRESHOLD = 3, 0.5
 GROUPS, LEAF, BLOCK = 64, 32, 2048
@@ -135,17 +135,22 @@ def _open(body: bytes) -> list[np.ndarray]:
 
 
 def _deltas(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Differences of ascending 64-bit values in as few bytes each as the greatest needs; and that number with the first value."""
+    """Differences of ascending 64-bit values in as few bytes each as cost least, and a head: that number of bytes, the first value, and place and value of each difference that needs more."""
     steps = np.diff(ascending)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), np.array([width, *ascending[:1].tolist()], np.uint64)
+    over = [int((steps >> np.uint64(8 * w - 1) >> np.uint64(1) > 0).sum()) for w in range(1, 9)]
+    width = min(range(1, 9), key=lambda w: w * len(steps) + 16 * over[w - 1])
+    far = np.flatnonzero(steps >> np.uint64(8 * width - 1) >> np.uint64(1))
+    packed = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
+    return packed, np.concatenate([np.array([width], np.uint64), ascending[:1], far.astype(np.uint64), steps[far]])
 
 
 def _undo(packed: np.ndarray, head: np.ndarray) -> np.ndarray:
-    width = int(head[0])
+    width, far = int(head[0]), head[2:].reshape(2, -1)
     steps = np.zeros((len(packed) // width, 8), np.uint8)
     steps[:, :width] = packed.reshape(-1, width)
-    return np.cumsum(np.concatenate([head[1:], steps.view("<u8").ravel()]), dtype=np.uint64)
+    steps = steps.view("<u8").ravel()
+    steps[far[0].astype(np.int64)] = far[1]
+    return np.cumsum(np.concatenate([head[1:2], steps]), dtype=np.uint64)
 
 
 # --- regions ------------------------------------------------------------------------------------------
@@ -435,6 +440,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = cut(_linked(_shared(_gather(docs, n, parts, flush_grams), parts), parts, threshold))
+    free_shuffles(docs.sparkSession)  # those of the flushes, more than all that follow
     own = kept.where("kind = 0 and sig is not null").select("sig", F.explode("ids").alias("doc_id")).distinct()
     weights = own.groupBy("sig").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
     regions = connected_components(_links(kept, parts)).select(F.col("id").alias("sig"), F.col("component").alias("region"))
@@ -442,6 +448,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     sets = cut(bodies.select("sig", "size").distinct().join(regions, "sig").join(weights.select("sig", "weight"), "sig"))
     # the sets' grams are moved to their cells only
     found = cut(_search(_cells(sets, threshold, block).join(bodies.drop("size").dropDuplicates(["sig"]), "sig"), threshold))
+    free_shuffles(docs.sparkSession)
     classes = connected_components(found.select(F.col("sig").alias("u"), F.col("root").alias("v")))
     each = weights.join(found.groupBy("sig").agg(F.sum("links").alias("links")), "sig", "left").join(classes.withColumnRenamed("id", "sig"), "sig", "left")
     each = cut(each.select("sig", F.coalesce("component", "sig").alias("class"), "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")))

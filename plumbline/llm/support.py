@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has shuffle files removed that nothing refers to any more. Spark does so when the driver collects its garbage, which may be long after a step that wrote several times its input has ended. Takes about two seconds."""
+    for _ in range(2):  # what Python lets go of is released in the background before the driver can collect it
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     jvm = spark.sparkContext._jvm
@@ -39,7 +50,6 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
-        import gc
 
         yield from run(batches)
         gc.collect()
