@@ -234,6 +234,29 @@ def test_spanning_tree_and_clusters():
     assert (density.assign_all(x, label, k) > 0).all() and (density.assign_all(x, np.zeros(n, int), k) == 0).all()
 
 
+@pytest.mark.parametrize("n,size", [(700, 2), (700, 9)])
+def test_tree_and_shares_without_all_pairs(n, size):
+    """Prim over all pairs has the same edges in the same order, with the neighbours given or not."""
+    x = np.random.default_rng(size).normal(size=(n, size)) * np.where(np.arange(n) % 3, 1, 5)[:, None]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for k in (2, 6):
+        core = np.sort(d, axis=1)[:, k - 1]
+        reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+        best, parent, left, at, want = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0, []
+        for _ in range(n - 1):
+            left[at] = False
+            closer = left & (reach[at] < best)
+            best[closer], parent[closer] = reach[at][closer], at
+            at = int(np.argmin(np.where(left, best, np.inf)))
+            want.append((parent[at], at, best[at]))
+        near, far = density.nearest(x, k + 3)
+        for got in (density.spanning_tree(x, k), density.spanning_tree(x, k, near, far)):
+            assert [*zip(*(v.tolist() for v in got), strict=True)] == want
+        label, _ = density.hdbscan(x, k)
+        least = np.array([[reach[p, label == c].min() for c in range(1, label.max() + 1)] for p in range(n)]).reshape(n, -1)
+        assert (density.assign_all(x, label, k) == np.where(label > 0, label, least.argmin(axis=1) + 1 if label.any() else 0)).all()
+
+
 def test_topics_of_planted_groups(spark):
     x, truth = planted()
     docs = spark.createDataFrame([(k, f"text {k}", v.tolist()) for k, v in enumerate(x)], "doc_id bigint, text string, embedding array<double>")
