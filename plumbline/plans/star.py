@@ -80,8 +80,8 @@ def json_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", patents.extract("k", "bigint").alias("k"))
 
 
-def patent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A patent record for each order, as JSON lines: its lines' suppliers are the applicants, parts the inventors, part types the classes."""
+def patent_lines(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """A patent record for each order, as JSON lines: its lines' suppliers are the applicants, parts the inventors, part types the classes. In the order of lens_id as a number, if ordered."""
     lines = (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -109,7 +109,7 @@ def patent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("de").alias("lang"), F.col("o_orderpriority").alias("text")).alias("abstract"), biblio.alias("biblio"),
         F.struct(F.col("o_orderstatus").alias("patent_status"), (F.col("o_orderstatus") == "F").alias("granted")).alias("legal_status"),
     )
-    return orders.select(F.to_json(record).alias("value"))
+    return (orders.orderBy("o_orderkey") if ordered else orders).select(F.to_json(record).alias("value"))
 
 
 _LINES = """
@@ -155,9 +155,9 @@ def patent_cpc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, lines: DataFrame, **options: str) -> str:
-    """A folder with the lines as one text file in the shared folder."""
+    """A folder in the shared folder with the lines as text files, one a partition: the order of their names and of their lines is that of the lines."""
     path = f"{graph.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    lines.coalesce(1).write.options(**options).text(path)
+    lines.write.options(**options).text(path)
     return path
 
 
@@ -210,8 +210,8 @@ def patent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("patent_first_records", "SELECT CAST(o_orderkey AS VARCHAR) AS lens_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderkey LIMIT 100")
 def patent_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """max_records: the first hundred lines of a file of all records."""
-    lines = patent_lines(spark, sf_dir).orderBy(F.get_json_object("value", "$.lens_id").cast("bigint"))
+    """max_records: the first hundred lines of the files of all records."""
+    lines = patent_lines(spark, sf_dir, ordered=True)
     return patents.patent_info(patents.read_lines(spark, _files(spark, lines, compression="gzip"), max_records=100)).select("lens_id")
 
 

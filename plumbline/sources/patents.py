@@ -18,15 +18,23 @@ def read_lines(spark: SparkSession, path: str, max_records: int | None = None) -
     return placed.orderBy("file_path", "file_block_start", "place").limit(max_records).select("value")
 
 
+#: An object gives a struct, if without values; anything else gives null.
+_IS_OBJECT = "try_variant_get(v, '$', 'struct<lens_id: variant>') is not null"
+
+
+def _parsed(lines: DataFrame, *kept: str) -> DataFrame:
+    """v beside the kept columns. It comes out of a generator, so that a line is parsed once: filters on a plain expression are carried below joins, and evaluate it again there."""
+    return lines.select(*kept, F.explode(F.array(F.try_parse_json("value"))).alias("v"))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """(v): the well-formed JSON objects."""
-    parsed = lines.select(F.try_parse_json("value").alias("v"))
-    return parsed.where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    return _parsed(lines).where(_IS_OBJECT)
 
 
 def bad_records(lines: DataFrame) -> DataFrame:
     """(value): the lines that parse drops."""
-    return lines.withColumn("v", F.try_parse_json("value")).where("v is null or schema_of_variant(v) not like 'OBJECT%'").select("value")
+    return _parsed(lines, "value").where(f"not ({_IS_OBJECT})").select("value")
 
 
 def extract(path: str, kind: str = "string", v: str = "v") -> Column:
@@ -34,9 +42,11 @@ def extract(path: str, kind: str = "string", v: str = "v") -> Column:
     return F.try_variant_get(F.col(v), f"$.{path}", kind)
 
 
-def _in_english(path: str) -> Column:
-    """One object's text whatever its language; of an array the first English text, else the first element's."""
-    many = extract(path, "array<struct<lang: string, text: string>>")
+_TEXTS = "array<struct<lang: string, text: string>>"
+
+
+def _in_english(many: str, path: str) -> Column:
+    """One object's text whatever its language; of an array (the column many) the first English text, else the first element's."""
     english = F.try_element_at(F.filter(many, lambda t: (t["lang"] == "en") & t["text"].isNotNull()), F.lit(1))["text"]
     return F.coalesce(english, F.try_element_at(many, F.lit(1))["text"], extract(f"{path}.text"))
 
@@ -46,47 +56,41 @@ _INVENTORS = "array<struct<sequence: int, extracted_name: struct<value: string>,
 _CLASSES = "array<struct<symbol: string, classification_value: string, classification_symbol_position: string>>"
 
 
-def _joined(array: Column, name: str | None) -> Column:
-    """Values that aren't null, joined by "; "; null if there is none."""
-    values = F.filter(F.transform(array, lambda x: x["extracted_name"]["value"] if name is None else x[name]), lambda s: s.isNotNull())
-    return F.when(F.size(values) > 0, F.array_join(values, "; "))
-
+def _strings(array: str, name: str | None) -> Column:
+    """The entries' values that aren't null: names, or a field."""
+    return F.filter(F.transform(array, lambda x: x["extracted_name"]["value"] if name is None else x[name]), lambda s: s.isNotNull())
 
-def all_applicants() -> Column:
-    return _joined(extract("biblio.parties.applicants", _APPLICANTS), None)
 
-
-def all_inventors() -> Column:
-    return _joined(extract("biblio.parties.inventors", _INVENTORS), None)
-
-
-def applicant_addresses() -> Column:
-    return _joined(extract("biblio.parties.applicants", _APPLICANTS), "extracted_address")
-
-
-def applicant_countries() -> Column:
-    return _joined(extract("biblio.parties.applicants", _APPLICANTS), "residence")
+def _joined(values: str) -> Column:
+    """Joined by "; "; null if there is none."""
+    return F.when(F.size(values) > 0, F.array_join(values, "; "))
 
 
-def all_classifications() -> Column:
+def _symbols(entries: str) -> Column:
     """IPC symbols joined by "; ": null without entries, "" if no entry has a symbol."""
-    entries = extract("biblio.classifications_ipcr.classifications", _CLASSES)
     return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, lambda x: x["symbol"]), "; "))
 
 
 def patent_info(lines: DataFrame, addresses: bool = False) -> DataFrame:
     """20 columns a patent; with addresses also applicant_addresses and applicant_countries."""
-    extra = [applicant_addresses().alias("applicant_addresses"), applicant_countries().alias("applicant_countries")] if addresses else []
-    return parse(lines).select(
+    extra = [_joined("__addresses").alias("applicant_addresses"), _joined("__countries").alias("applicant_countries")] if addresses else []
+    # what is used more than once is a column of its own, else it would be taken out of the record each time
+    arrays = parse(lines).select(
+        "v", extract("biblio.invention_title", _TEXTS).alias("__titles"), extract("abstract", _TEXTS).alias("__abstracts"), extract("biblio.parties.applicants", _APPLICANTS).alias("__applicants"),
+        extract("biblio.parties.inventors", _INVENTORS).alias("__inventors"), extract("biblio.classifications_ipcr.classifications", _CLASSES).alias("__classes"),
+    )
+    more = [_strings("__applicants", "extracted_address").alias("__addresses"), _strings("__applicants", "residence").alias("__countries")] if addresses else []
+    values = arrays.select("v", "__titles", "__abstracts", "__classes", _strings("__applicants", None).alias("__names"), _strings("__inventors", None).alias("__people"), *more)
+    return values.select(
         *[extract(c).alias(c) for c in ("lens_id", "jurisdiction", "doc_number", "kind", "date_published", "lang")],
-        _in_english("biblio.invention_title").alias("title"),
-        _in_english("abstract").alias("abstract"),
+        _in_english("__titles", "biblio.invention_title").alias("title"),
+        _in_english("__abstracts", "abstract").alias("abstract"),
         extract("biblio.application_reference.doc_number").alias("app_doc_number"),
         extract("biblio.application_reference.date").alias("app_date"),
         F.coalesce(extract("biblio.priority_claims.earliest_claim.date"), extract("biblio.priority_claims.claims[0].date")).alias("priority_date"),
-        all_applicants().alias("applicants"),
-        all_inventors().alias("inventors"),
-        all_classifications().alias("ipc_classifications"),
+        _joined("__names").alias("applicants"),
+        _joined("__people").alias("inventors"),
+        _symbols("__classes").alias("ipc_classifications"),
         extract("legal_status.patent_status").alias("patent_status"),
         extract("legal_status.granted", "boolean").alias("granted"),
         extract("legal_status.grant_date").alias("grant_date"),

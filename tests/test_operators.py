@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import char_cosine, ngrams, signif, squish
 from plumbline.operators import affiliations, companies, density, emotion, graph, layout, neighbours, plotdata, rca, terms, topics
+from plumbline.plans import star
 from plumbline.sources import patents
 
 
@@ -317,3 +318,28 @@ def test_patents(spark, tmp_path):
     assert rows(patents.inventors(read).select("sequence", "name")) == [(7, "I1"), (2, None)]
     assert patents.applicants(read).count() == 0 and patents.bad_records(read).count() == 2
     assert patents.patent_info(patents.read_lines(spark, str(path), max_records=6)).count() == 4
+
+
+def test_patents_are_parsed_once(spark):
+    """Behind a join too, and each array is taken out of a record once."""
+    lines = [(1, '{"lens_id": "a", "biblio": {"parties": {"applicants": [{"residence": "X"}, {"extracted_name": {"value": "N"}}]}}}'), (2, "[1]"), (3, ' \t{}'), (4, None), (5, "3"), (6, "{bad"), (7, '"{}"')]
+    df = spark.createDataFrame(lines, "k int, value string").join(spark.range(1, 9).withColumnRenamed("id", "k"), "k").select("value")
+    info = patents.patent_info(df, addresses=True)
+    assert sorted(map(str, rows(info.select("lens_id", "applicants", "applicant_addresses", "applicant_countries")))) == ["('a', 'N', None, 'X')", "(None, None, None, None)"]
+    assert sorted(map(str, rows(patents.bad_records(df)))) == sorted(map(str, [("[1]",), (None,), ("3",), ("{bad",), ('"{}"',)]))
+    plan = info._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("$.biblio.parties.applicants") == 1 and plan.count("$.biblio.parties.inventors") == 1
+
+
+def test_first_records_of_many_files(spark):
+    """All records are written in order, by as many tasks as there are ranges; the first lines are those of the first files."""
+    lines = spark.range(4000).repartition(7).orderBy("id").selectExpr("concat('{\"lens_id\": \"', id, '\"}') AS value")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = star._files(spark, lines, compression="gzip")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    read = spark.read.text(path)
+    assert read.count() == 4000 and read.select("_metadata.file_path").distinct().count() > 1
+    assert [r["lens_id"] for r in patents.patent_info(patents.read_lines(spark, path, max_records=1500)).collect()] == [str(k) for k in range(1500)]
