@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import ngrams, signif
+from plumbline.functions.text import signif
 from plumbline.operators import affiliations, companies, emotion, graph, neighbours, plotdata, rca, terms, topics
 from plumbline.plans.registry import register
 from plumbline.sources import patents
@@ -230,7 +230,7 @@ SELECT source, term, count(*) AS n FROM t GROUP BY ALL
 )
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
-    return table(spark, sf_dir, "documents").select("source", F.explode(ngrams(words, 1, 2)).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n"))
+    return terms.term_counts(table(spark, sf_dir, "documents").select("source", words.alias("words")), "source", "words", 1, 2).select("source", "term", F.col("tf").alias("n"))
 
 
 _TFIDF = rf"""

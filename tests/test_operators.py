@@ -136,6 +136,27 @@ def test_topic_tfidf(spark):
     assert least == {("1", "energy"), ("2", "energy"), ("2", "production"), ("2", "turbine"), ("2", "wind")}
 
 
+def test_term_counts(spark, monkeypatch):
+    """As counted one by one, over several pieces of a batch; keys of sets, nulls and long runs included, and no term leaves a batch uncounted."""
+    monkeypatch.setattr(terms, "TOKENS", 50)
+    rng = np.random.default_rng(3)
+    data = [([("a",), (None,)] if k % 3 else [("b",)], None if k % 11 == 5 else [f"w{v}" for v in rng.integers(0, 4, k % 9)]) for k in range(120)]
+    df = spark.createDataFrame(data, "key array<struct<topic: string>>, words array<string>").coalesce(1)
+    tf, docs = {}, {}
+    for key, words in data:
+        seen = [""] if words else []
+        seen += ["_".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)] if words else []
+        for t in seen:
+            tf[str(key), t] = tf.get((str(key), t), 0) + 1
+        for t in set(seen):
+            docs[str(key), t] = docs.get((str(key), t), 0) + 1
+    out = terms.term_counts(df, "key", "words", 1, 3, "_", mark=True)
+    got = out.collect()
+    assert {(str([tuple(t) for t in r["key"]]), r["term"]): (r["tf"], r["docs"]) for r in got} == {k: (v, docs[k]) for k, v in tf.items()} and len(got) == len(tf)
+    named = terms.term_counts(spark.createDataFrame([(None, ["x"]), ("", ["x", "x"]), ("{}", None)], "key string, words array<string>"), "key", "words", 0, 1)
+    assert sorted(map(str, rows(named))) == ["('', 'x', 2, 1)", "(None, 'x', 1, 1)"]
+
+
 def test_topic_terms(spark):
     tags = {"d1": "solar energy system photovoltaic panel", "d2": "photovoltaic module sustainable energy", "d3": "wind turbine offshore energy production"}
     df = spark.createDataFrame([(d, 1 if d != "d3" else 2, t) for d, t in tags.items()], "doc_id string, topic int, text string")
