@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +56,55 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Edges that are made stars at once in a task.
+EDGES = 2_000_000
+
+
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Edges (v, m) that join the same ids as the given ones: each id with one of its component among these."""
+    t = pa.Table.from_batches(batches)
+    both = pa.concat_arrays(t.column("u").chunks + t.column("v").chunks).dictionary_encode()
+    ends = both.indices.to_numpy().reshape(2, -1)
+    label = np.arange(len(both.dictionary))
+    while len(ends[0]):
+        low = label.copy()
+        np.minimum.at(low, label[ends[0]], label[ends[1]])
+        np.minimum.at(low, label[ends[1]], label[ends[0]])
+        while (low != low[low]).any():
+            low = low[low]
+        label = low[label]
+        ends = ends[:, label[ends[0]] != label[ends[1]]]
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(own)), both.dictionary.take(pa.array(label[own]))], ["u", "v"])
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the components of the given ones, of which a task sends on one an id and piece at most: where ids have many edges near each other, far fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += len(b)
+            if count >= EDGES:
+                held = [_stars(held)]
+                if len(held[0]) > EDGES // 2:  # little is gained by adding more
+                    yield held.pop()
+                count = sum(map(len, held))
+        if held:
+            yield _stars(held)
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def linked_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that one of the edges (u, v) joins to another; component is the smallest id of its component.
 
-    Large-star and small-star steps take turns, each written once, until no edge changes. Edges become stars, so there are never more of them than at the start; the number of rounds grows with the logarithm of the longest path.
+    Each task first makes stars of its own edges. Then large-star and small-star steps take turns, each written once, until no edge changes. Edges become stars, so there are never more of them than at the start; the number of rounds grows with the logarithm of the longest path.
     """
-    e = checkpointed(edges.select("u", "v").where("u <> v and u is not null and v is not null").distinct())
+    e = edges.select("u", "v").where("u <> v and u is not null and v is not null")
+    e = checkpointed((local_stars(e) if e.schema["u"].dataType == e.schema["v"].dataType else e).distinct())
     before = None
     while True:
         e = checkpointed(_small_star(_large_star(e).distinct()).distinct())

@@ -407,8 +407,9 @@ for _k in range(_ROUNDS):  # labels spread along edges; every path of this graph
 
 def _lines_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     """Suppliers and parts linked by all lines."""
-    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-    return graph.Graph(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges)
+    lines = table(spark, sf_dir, "lineitem")
+    ends = [lines.select(c).where(f"{c} is not null").distinct().select(F.concat(F.lit(kind), c).alias("id")) for kind, c in (("s", "l_suppkey"), ("p", "l_partkey"))]
+    return graph.Graph(ends[0].union(ends[1]), lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
 
 
 @register("connected_components_trade", f"WITH {_TRADE} SELECT id, low AS component FROM k{_ROUNDS}")

@@ -177,6 +177,25 @@ def test_graph(spark):
     assert graph.giant_component(graph.Graph(nodes.limit(0), edges.limit(0))).vertices.count() == 0
 
 
+def test_local_stars(spark, monkeypatch):
+    """A task's many edges among few ids become one an id, with the same components, however they come in pieces."""
+    monkeypatch.setattr(graph, "EDGES", 300)
+    rng = np.random.default_rng(5)
+    pairs = [(f"n{g}-{a}", f"n{g}-{b}") for g in range(6) for a, b in rng.integers(0, 40, (400, 2)).tolist()]
+    edges = spark.createDataFrame(pairs, "u string, v string").coalesce(1)
+    stars = rows(graph.local_stars(edges))
+    ids = {x for p in pairs for x in p}
+    assert len(stars) <= 2 * len(ids)
+    for given in (pairs, stars):
+        label = {x: x for x in ids}
+        for _ in range(20):
+            for a, b in given:
+                label[a] = label[b] = min(label[a], label[b])
+        want = label if given is pairs else want
+        assert label == want
+    assert {k: v for k, v in rows(graph.linked_components(edges))} == want
+
+
 def test_knn(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 1.0])], "doc_id bigint, embedding array<double>")
     near = {r["id"]: r["neighbour"] for r in neighbours.knn(df, 1).collect()}
