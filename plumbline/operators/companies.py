@@ -111,6 +111,29 @@ def needed_texts(kind: str, tokens: list[str]) -> list[str] | None:
     return None if None in texts else [x for t in texts for x in t]
 
 
+#: Letters of a needed text that are looked up; shorter texts are looked up whole.
+ANCHOR = 3
+
+
+def anchors(needed: list[list[str] | None]) -> tuple[dict[str, list[int]], list[int]]:
+    """(places of the rules by the first letters of their needed texts, places of the rules without)."""
+    by_start: dict[str, list[int]] = {}
+    for k, texts in enumerate(needed):
+        for start in {x[:ANCHOR] for x in texts or []}:
+            by_start.setdefault(start, []).append(k)
+    return by_start, [k for k, texts in enumerate(needed) if texts is None]
+
+
+def possible(low: str, by_start: dict[str, list[int]], always: list[int]) -> list[int]:
+    """Places of the rules that may match a name in lower case, in order."""
+    found = set(always)
+    for n in range(1, ANCHOR + 1):
+        for i in range(len(low) - n + 1):
+            if (k := by_start.get(low[i : i + n])) is not None:
+                found.update(k)
+    return sorted(found)
+
+
 def apply_company_rules(df: DataFrame, name_col: str, rules: DataFrame, strict: bool = True) -> DataFrame:
     """df with ``canonical``: of the rules that match, that of the lowest priority number, then place; null without one.
 
@@ -124,10 +147,11 @@ def apply_company_rules(df: DataFrame, name_col: str, rules: DataFrame, strict:
     @F.pandas_udf("string")
     def resolve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compiled = [(needed_texts(kind, tokens), all if kind == "ALL" else any, [re.compile(t, re.I) for t in tokens], re.compile(p, re.I) if p else None, canonical) for kind, tokens, p, canonical in usable]
+        by_start, always = anchors([c[0] for c in compiled])
 
         def first(s: str) -> str | None:
             low = s.lower() if s.isascii() else None  # other letters fold in ways of their own
-            for needed, rule, tokens, p, canonical in compiled:
+            for needed, rule, tokens, p, canonical in compiled if low is None else (compiled[k] for k in possible(low, by_start, always)):
                 if (low is None or needed is None or any(x in low for x in needed)) and rule(t.search(s) for t in tokens) and (p is None or p.search(s)):
                     return canonical
             return None
@@ -135,5 +159,7 @@ def apply_company_rules(df: DataFrame, name_col: str, rules: DataFrame, strict:
         for batch in batches:
             yield pd.Series([first(s) if isinstance(s, str) else None for s in batch])
 
-    names = df.select(F.col(name_col).alias("__name")).where("__name is not null").distinct().withColumn("canonical", resolve("__name"))
+    # names are few bytes and much work: by their size alone they would be put into a task or two
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    names = df.select(F.col(name_col).alias("__name")).where("__name is not null").repartition(tasks, "__name").distinct().withColumn("canonical", resolve("__name"))
     return df.drop("canonical").join(names, F.col(name_col) == F.col("__name"), "left").drop("__name")

@@ -96,6 +96,19 @@ def test_rules_that_need_texts(spark):
             assert not hit or needed is None or any(x in name.lower() for x in needed), (tokens, name)
 
 
+def test_rules_are_looked_up(spark):
+    """The look-up leaves out no rule whose texts a name holds, names none that it lacks, and names are resolved by many tasks."""
+    needed = [["akzo"], ["hu", "b"], None, ["nobel", "novel"], ["", "zz"][1:]]
+    by_start, always = companies.anchors(needed)
+    for name in ("akzo novel", "hubble", "x", "", "jazz", "nov", "the huzz"):
+        may = companies.possible(name, by_start, always)
+        assert 2 in may and may == sorted(may) and {k for k, texts in enumerate(needed) if texts and any(x in name for x in texts)} <= set(may)
+    assert companies.possible("x", by_start, always) == [2]
+    df = spark.range(200).selectExpr("concat('Customer ', id) AS name")
+    found = companies.apply_company_rules(df, "name", companies.load_company_rules(spark), strict=False)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rule_file(spark, tmp_path):
     path = tmp_path / "rules.jsonl"
     path.write_text(json.dumps({"priority": 2, "type": "ANY", "tokens": ["acme"], "canonical": "Acme"}) + "\n" + json.dumps({"priority": 1, "type": "ALL", "tokens": ["acme", "labs"], "pattern": "^the", "canonical": "Acme Labs"}))
