@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import cut, free_name, map_rows, normal_text
+from plumbline.llm.support import cut, free_name, map_rows, normal_text, releasing, small_batches
 
 MIN_MATCH, THRESHOLD, BROADCAST_TOKENS = 5, 0.5, 2_000_000
 _SCHEMA = "doc_id bigint, item_id bigint, coverage double, n_tiles int, longest_tile int"
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                     names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
                 )
 
-    return own.mapInArrow(run, _SCHEMA)
+    return small_batches(own).mapInArrow(releasing(run), _SCHEMA)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
@@ -206,4 +206,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int =
                 keep[[h[0] for h in index.found(pc.fill_null(part.column("text"), "")) if h[2] >= threshold]] = False
                 yield part.filter(pa.array(keep))
 
-    return map_rows(docs, run, docs.schema)
+    return map_rows(small_batches(docs), releasing(run), docs.schema)

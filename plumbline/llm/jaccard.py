@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import connected_components, cut, free_name, free_shuffles, normal_text, releasing
+from plumbline.llm.support import connected_components, cut, free_name, free_shuffles, normal_text, releasing, small_batches
 
 N, THRESHOLD = 3, 0.5
 GROUPS, LEAF, BLOCK = 64, 32, 2048
@@ -226,7 +226,7 @@ def _gather(docs: DataFrame, n: int, parts: int, flush_grams: int) -> DataFrame:
         if held or empty:
             yield send()
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(releasing(run), _PIECES)
+    return small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(releasing(run), _PIECES)
 
 
 def _shared(pieces: DataFrame, parts: int) -> DataFrame:

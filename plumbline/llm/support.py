@@ -40,6 +40,22 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes that an Arrow batch holds at most, or one longer row.
+BATCH = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends rows to Python in batches of at most ``BATCH`` bytes, or of less where it is set so.
+
+    Spark's own bound is 64 MB or 10,000 rows, in practice all the texts of a task. A batch lies outside the heap of an executor, up to three times while it grows, and again in the Python worker.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return df
+
+
 def normal_text(name: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

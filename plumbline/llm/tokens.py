@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectext
-from plumbline.llm.support import normal_text, releasing
+from plumbline.llm.support import normal_text, releasing, small_batches
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK = 1024
@@ -76,7 +76,7 @@ def read_range(packed: bytes, offsets: np.ndarray, n: int, width: int, start: in
 class Encoder:
     """Whole-text ids of a sentencepiece model, by distinct words; words met before are kept up to a bound."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 100_000) -> None:
         import sentencepiece
 
         self.model, self.keep, self.known = sentencepiece.SentencePieceProcessor(model_file=path), keep, {}
@@ -131,4 +131,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLO
                     names=["doc_id", "n_tokens", "bit_width", "block_size", "block_offsets", "packed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(releasing(run), SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text")).mapInArrow(releasing(run), SCHEMA)

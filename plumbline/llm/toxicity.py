@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import cut, map_rows, normal_text, releasing
+from plumbline.llm.support import cut, map_rows, normal_text, releasing, small_batches
 
 # --- transducers ---------------------------------------------------------------------------------
 
@@ -377,7 +377,7 @@ def score_documents(docs: DataFrame, stems: dict[str, list[str]] | None = None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(n, pa.int32())], names=["doc_id", "toxicity", "total_weight", "n_clauses"])
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text"), lang.alias("lang")).mapInArrow(run, SCORES)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_text().alias("text"), lang.alias("lang")).mapInArrow(releasing(run), SCORES)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, max_rows: int = 20_000) -> DataFrame:
@@ -398,4 +398,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame | None, threshold: float = T
             keep = [scorer.score(t or "", lang or "")[0] < threshold for t, lang in zip(batch.column("text").to_pylist(), langs, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_rows(docs, releasing(run), docs.schema)
+    return map_rows(small_batches(docs), releasing(run), docs.schema)

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import mixing, tokens
+from plumbline.llm import mixing, support, tokens
 from tests.llm.test_llm import brute_pairs, odd_names
 
 
@@ -50,3 +51,39 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.fixture
+def batch_size(spark):
+    """The session's bound on Arrow batches, put back at the end."""
+    before = spark.conf.get(SIZE)
+    yield
+    spark.conf.set(SIZE, before)
+
+
+def test_batches_of_long_texts_are_small(spark, docs_of, folder, batch_size):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = docs_of([(k, "word " * 1000) for k in range(4000)]).coalesce(1)  # 20 MB in a task
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "mixing":  # sends no rows to Python
+            spark.conf.set(SIZE, "64m")
+            stage(spark, docs, folder[0])
+            n = [r[0] for r in docs.select("text").mapInArrow(sizes, "n bigint").collect()]
+            assert sum(n) >= 20_000_000 and max(n) < 1.1 * support.BATCH, name
+    spark.conf.set(SIZE, "1m")  # a lower bound stays
+    tokens.pack_documents(docs)
+    assert spark.conf.get(SIZE) == "1m"
+
+
+def test_results_do_not_depend_on_batches(spark, folder, batch_size):
+    rows = []
+    for size in ("64m", "1k"):
+        spark.conf.set(SIZE, size)
+        rows.append(sorted(map(str, corpus_pipeline.run(spark, folder[0]).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) > 60
